@@ -173,12 +173,22 @@ def _whole_sets(mask: np.ndarray):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose whole sets overlap enough."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose whole sets overlap enough, written. The sets are made again for the documents of the
+    pairs alone: that costs a scan and saves keeping every set on disk."""
+    spark = docs.sparkSession
+    pairs = written(pairs, "pairs")
+    mask = _id_filter(pairs.select("a").union(pairs.select("b")))
+    sets = written(docs.where("doc_id is not null").mapInArrow(_whole_sets(mask), "id long, h array<long>"), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("h").alias("ha"))
     right = sets.select(F.col("id").alias("b"), F.col("h").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b")
+    links = written(joined.where(100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "links")
+    drop(pairs)
+    drop(sets)
+    release(spark)
+    return links
 
 
 def _may_link(x: str, y: str):
@@ -213,17 +223,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     release(spark)
     nodes = written(indexed.select("id", "n", *_FIELDS).join(alive.select("id").distinct(), "id", "left_semi"), "nodes")
     drop(indexed)
-    mask = _id_filter(nodes.select("id"))
-    sets = written(docs.where("doc_id is not null").mapInArrow(_whole_sets(mask), "id long, h array<long>").dropDuplicates(["id"]), "sets")
-    release(spark)
-
     def bounded(pairs: DataFrame) -> DataFrame:
         x, y = nodes.select(*(F.col(c).alias(f"x_{c}") for c in nodes.columns)), nodes.select(*(F.col(c).alias(f"y_{c}") for c in nodes.columns))
         differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in _FIELDS), F.lit(0))
         return pairs.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).where(9 * differ <= F.col("x_n") + F.col("y_n")).select("a", "b")
 
     star = alive.where("id <> hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
-    links = written(verified(bounded(star), sets), "links")
+    links = verified(bounded(star), docs)
     comps = components(links)
     release(spark)
     # What the stars leave: entries that still hold documents of several components.
@@ -233,11 +239,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = written(alive.select("sig", "id").join(open_, "sig", "left_semi").join(labelled, "id"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     near = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x", "y"))
-    more = written(verified(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), sets), "links")
-    release(spark)
+    more = verified(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), docs)
     comps = components(links.union(more))
     class_comps = written(classes.join(comps, classes.rep == comps.node, "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component_id")), "classes")
-    for t in (nodes, sets, alive, open_, rest, links, more, comps):
+    for t in (nodes, alive, open_, rest, links, more, comps):
         drop(t)
     found = full.select("doc_id", "n", "d1", "d2").join(class_comps, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = prefixes.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
