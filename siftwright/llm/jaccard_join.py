@@ -41,7 +41,7 @@ PERCENT = 80
 FREQUENT_MOST, FREQUENT_FROM, TASK_MOST = 1 << 17, 8, 1 << 15
 BITS = 512
 _FIELDS = [f"b{i}" for i in range(BITS // 64)]
-_PREFIX_SCHEMA = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"{b} long" for b in _FIELDS) + ", sigs array<long>"
+_PREFIX_SCHEMA = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"{b} long" for b in _FIELDS) + ", bits array<long>, sigs array<long>"
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -87,10 +87,20 @@ def frequent_class(docs: DataFrame) -> np.ndarray:
 
 
 def _bitmap(u: np.ndarray) -> np.ndarray:
+    """Parity bitmap of fixed size: a shingle flips the bit that its upper hash bits name."""
     parity = np.bincount((u >> np.uint64(64 - 9)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def _wide_bitmap(u: np.ndarray) -> np.ndarray:
+    """For large sets a second one, by the lower hash bits, of as many bits as shingles (the next power of two)."""
+    if len(u) <= BITS:
+        return np.zeros(0, np.int64)
+    size = 1 << (len(u) - 1).bit_length()
+    parity = np.bincount((u & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(u: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The index entries of one set: single rare shingles, and combinations of two neighbouring frequent ones."""
     n = len(u)
@@ -126,10 +136,14 @@ def _prefixes(frequent: np.ndarray):
                 np.cumsum(W.mix(every + np.uint64(11)), out=run[0, 1:])
                 np.cumsum(W.mix(every ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=run[1, 1:])
                 digests = (run[:, ends] - run[:, ends - sizes]).view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
+                wide = [_wide_bitmap(u) for u in sets]
+                lists = []
+                for x in (wide, sigs):
+                    offsets = np.concatenate([[0], np.cumsum([len(s) for s in x])]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).view(np.int64))))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes.astype(np.int32)), pa.array(digests[0]), pa.array(digests[1]), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(BITS // 64)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sigs).view(np.int64)))],
-                    names=["doc_id", "n", "d1", "d2", *_FIELDS, "sigs"],
+                    [part.column("doc_id"), pa.array(sizes.astype(np.int32)), pa.array(digests[0]), pa.array(digests[1]), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(BITS // 64)), *lists],
+                    names=["doc_id", "n", "d1", "d2", *_FIELDS, "bits", "sigs"],
                 )
 
     return run
@@ -191,10 +205,28 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
+def _differ(x: str, y: str):
+    """Bits in which two bitmaps differ: each stands for a differing shingle at least."""
+    return sum((F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in _FIELDS), F.lit(0))
+
+
 def _may_link(x: str, y: str):
-    """The exact bound: differing bits are differing shingles; a linked pair has at most (n_x + n_y) / 9 of those."""
-    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _FIELDS), F.lit(0))
-    return 9 * differ <= F.col(f"{x}.n") + F.col(f"{y}.n")
+    """The exact bounds: a linked pair's sizes differ by a quarter at most, and it has at most (n_x + n_y) / 9 differing shingles."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * _differ(x, y) <= n + m)
+
+
+def _may_link_wide(x: str, y: str):
+    """The second bound again on the wide bitmaps; the larger of two folds to the size of the smaller (after _may_link, half of it)."""
+    p, q = F.col(f"{x}bits"), F.col(f"{y}bits")
+
+    def folded(a, b):
+        half = (F.size(a) / 2).cast("int")
+        fold = F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(a) > F.size(b), fold).otherwise(a)
+
+    differ = F.aggregate(F.zip_with(folded(p, q), folded(q, p), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda a, b: a + b)
+    return F.when((F.size(p) == 0) | (F.size(q) == 0), F.lit(True)).otherwise(9 * differ <= F.col(f"{x}n") + F.col(f"{y}n"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -213,7 +245,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     full = prefixes.where("n > 0 and doc_id is not null")
     classes = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     kept = full.join(classes, [full.d1 == classes.d1, full.d2 == classes.d2, full.doc_id == classes.rep], "left_semi")
-    indexed = written(kept.where("n >= 4").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", *_FIELDS, "sigs"), "indexed")
+    indexed = written(kept.where("n >= 4").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", *_FIELDS, "bits", "sigs"), "indexed")
     release(spark)
     entries = indexed.select("id", F.explode("sigs").alias("sig"))
     shared = written(entries.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").select("sig", "hub"), "shared")
@@ -221,12 +253,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     alive = written(entries.join(shared, "sig").select("sig", "id", "hub"), "alive")
     drop(shared)
     release(spark)
-    nodes = written(indexed.select("id", "n", *_FIELDS).join(alive.select("id").distinct(), "id", "left_semi"), "nodes")
+    nodes = written(indexed.select("id", "n", *_FIELDS, "bits").join(alive.select("id").distinct(), "id", "left_semi"), "nodes")
     drop(indexed)
     def bounded(pairs: DataFrame) -> DataFrame:
         x, y = nodes.select(*(F.col(c).alias(f"x_{c}") for c in nodes.columns)), nodes.select(*(F.col(c).alias(f"y_{c}") for c in nodes.columns))
-        differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in _FIELDS), F.lit(0))
-        return pairs.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).where(9 * differ <= F.col("x_n") + F.col("y_n")).select("a", "b")
+        return pairs.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).where(_may_link("x_", "y_") & _may_link_wide("x_", "y_")).select(*pairs.columns)
 
     star = alive.where("id <> hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
     links = verified(bounded(star), docs)
@@ -238,11 +269,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     open_ = written(placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig"), "open")
     rest = written(alive.select("sig", "id").join(open_, "sig", "left_semi").join(labelled, "id"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    near = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x", "y"))
-    more = verified(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), docs)
-    comps = components(links.union(more))
+    near = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.", "y."))
+    near = written(bounded(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (_differ("x.", "y.") / (F.col("x.n") + F.col("y.n"))).alias("far")).distinct()), "near")
+    release(spark)
+    for t in (alive, open_, rest):
+        drop(t)
+    # One link joins two components, so the nearest pair of each two goes first; in the last round all that are left.
+    for last in (False, False, True):
+        ca, cb = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        apart = near.join(ca, "a", "left").join(cb, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+        if last:
+            tried = apart.select("a", "b")
+        else:
+            lo, hi = F.least("ca", "cb"), F.greatest("ca", "cb")
+            tried = apart.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+        tried = written(tried, "tried")
+        if tried.isEmpty():
+            drop(tried)
+            break
+        more = verified(tried, docs)
+        near_left = written(near.join(tried, ["a", "b"], "left_anti"), "near")
+        links_all = written(links.union(more), "links")
+        for t in (near, tried, links, more, comps):
+            drop(t)
+        near, links = near_left, links_all
+        comps = components(links)
     class_comps = written(classes.join(comps, classes.rep == comps.node, "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component_id")), "classes")
-    for t in (nodes, alive, open_, rest, links, more, comps):
+    for t in (nodes, near, links, comps, classes):
         drop(t)
     found = full.select("doc_id", "n", "d1", "d2").join(class_comps, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = prefixes.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
