@@ -1,0 +1,141 @@
+import glob
+import os
+
+import duckdb
+import pytest
+
+from siftwright import registry
+from siftwright.functions import text as X
+from siftwright.operators import code, judge, lines, probe, rank, segment
+from siftwright.plans import search
+from siftwright.sources import tree
+from siftwright.sources.tables import as_docs
+from siftwright.streaming import incremental
+
+SF = "/root/testdata/sf0.001"
+
+
+def _norm(v):
+    return round(v, 5) if isinstance(v, float) else v
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    df = registry.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted(repr([_norm(r[c]) for c in cols]) for r in df.collect())
+    want = con.execute(registry.ORACLE[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == cols
+    assert got == sorted(repr([_norm(r[names.index(c)]) for c in cols]) for r in want.fetchall())
+
+
+def test_dates_are_no_ids(spark):
+    from pyspark.sql import functions as F
+
+    tokens = ["2024", "2024-07", "07-2024", "2024-07-01T10:00Z", "9/25/2023", "09-25-23", "26-Jul-2025", "INV-20391", "x1y2z3", "1234567"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", X.qualifies_as_id(F.col("t")).alias("ok")).collect()
+    assert {r.t for r in rows if r.ok} == {"INV-20391", "x1y2z3", "1234567"}
+
+
+def test_phrases(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([('say "one two" and “three” then "open end',)], "t string").select(X.phrases(F.col("t")).alias("p")).first()
+    assert row.p == ["one two", "three", "open end"]
+
+
+def test_grep_finds_whole_words(spark):
+    docs = spark.createDataFrame([("a.py", "np.mean(x)\nmeans\nx = mean\n--dry-run")], "rel string, body string")
+    parts = spark.createDataFrame([("mean",), ("np.mean",), ("--dry-run",)], "part string")
+    got = {(r.part, r.n) for r in code.grep(lines.lines_of(docs), parts).collect()}
+    assert got == {("mean", 1), ("mean", 3), ("np.mean", 1), ("--dry-run", 4)}
+
+
+def test_python_defs_owners(spark):
+    body = "class A(B, m.C[int], x=1, object):\n    def f(self):\n        def g(): pass\n    class D:\n        def h(self): pass\n\ndef top(): pass\nX = 1\n  # c\nY: int = 2\nz == 3"
+    got = [(r.name, r.line, r.form, r.owner, r.bases) for r in lines.python_defs(lines.lines_of(spark.createDataFrame([("a.py", body)], "rel string, body string"))).orderBy("line").collect()]
+    assert got == [("A", 1, "class", None, ["B", "C"]), ("f", 2, "def", "A", None), ("g", 3, "def", "A", None), ("D", 4, "class", "A", []), ("h", 5, "def", "D", None), ("top", 7, "def", None, None), ("X", 8, "assign", None, None), ("Y", 10, "assign", None, None)]
+
+
+def test_segments_stay_in_bounds():
+    body = "lead\n\n# A\ntext\n```\n# no\n```\n## B\n" + "\n\n".join(["word " * 100] * 9) + "\n\n| a | b |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(45))
+    n = len(body.split("\n"))
+    found = segment.prose(body)
+    assert [s[0] for s in found][:2] == ["", "A"] and any(s[0] == "A > B" for s in found)
+    assert all(1 <= a <= b <= n for _, a, b, _, _ in found)
+    tables = [s for s in found if s[3] == "table"]
+    assert len(tables) == 3 and all("|---|---|" in s[4] for s in tables)
+    assert segment.prose("") == []
+
+
+def test_script_blocks():
+    body = "import x from 'y';\nexport class A extends B {\n  constructor(a) {\n    this.a = '}';\n  }\n  get b() {\n    return 1;\n  }\n}\nconst f = (x) => {\n  return `}`;\n};\nfunction g() {}\n"
+    assert [(s[0], s[1], s[2]) for s in segment.script_blocks(body)] == [("A", 2, 9), ("A.constructor", 3, 5), ("A.b", 6, 8), ("f", 10, 12), ("g", 13, 13)]
+
+
+def test_tree_source(spark, tmp_path):
+    for rel, data in {"a/x.py": b"x", "a.txt": b"t", "pkg/__init__.py": b"i", ".github/w.yml": b"w", "_p/y.py": b"y", "n.bin": b"\0", "big.txt": b"b" * 1_000_001, ".gitignore": b"skip/\n*.log\n", "skip/z.py": b"z", "e.log": b"l", "bad.txt": b"\xff"}.items():
+        path = tmp_path / rel
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    os.symlink(tmp_path / "a.txt", tmp_path / "link.txt")
+    docs = tree.open_corpus(spark, str(tmp_path))
+    rows = tree.in_tree_order(docs).collect()
+    assert [r.rel for r in rows] == [".github/w.yml", ".gitignore", "_p/y.py", "a/x.py", "a.txt", "bad.txt", "pkg/__init__.py"]
+    assert [r.body for r in rows if r.rel == "bad.txt"] == ["\ufffd"]
+    before = spark.createDataFrame(rows, docs.schema)
+    (tmp_path / "a.txt").write_bytes(b"new")
+    (tmp_path / "a/x.py").unlink()
+    assert {r.rel for r in tree.stale(before, docs).collect()} == {"a.txt", "a/x.py"}
+
+
+def test_chain_equals_the_sequential_rule(spark):
+    docs = [(f"d{i}/f{j}.txt", " ".join(f"AB{k}00" for k in range(6) if (i * 3 + j + k) % (k + 2) == 0)) for i in range(4) for j in range(6)]
+    d = spark.createDataFrame(docs, "rel string, body string")
+    ids = [("q", f"AB{k}00", f"ab{k}00") for k in range(6)]
+    got = {r.rel: round(r.weight, 6) for r in probe.chain(spark.createDataFrame(ids, "qid string, value string, id_key string"), d, 10).collect()}
+    seen: dict[str, int] = {}
+    for _, value, _ in ids:
+        for rel, body in sorted(docs, key=lambda x: x[0].split("/")):
+            if value in body.split() and (rel in seen or len(seen) < 10):
+                if len(seen) < 10:
+                    seen[rel] = seen.get(rel, 0) + 1
+    assert got == {k: round(0.4 + 0.15 * n / 6, 6) for k, n in seen.items()}
+
+
+def test_fuse_and_rank_limits(spark):
+    scored = spark.createDataFrame([("q", f"f{i}", 1.0 - i / 40, i + 1) for i in range(30)], "qid string, rel string, heuristic double, place int")
+    judged = spark.createDataFrame([("q", "new", 0.9)], "qid string, rel string, rank double")
+    rows = rank.fuse(judged, scored).orderBy("place").collect()
+    assert len(rows) == 15 and rows[0].rel == "new"
+    assert rank.rank_docs(spark.createDataFrame([("q", "a", 0.1, 0.2, None)], "qid string, rel string, peak double, weight double, matched_share double")).count() == 0
+
+
+def test_missing_verdicts(spark):
+    none = spark.createDataFrame([], "qid string, tag string, probability double")
+    stats = spark.createDataFrame([("q", "a", 1), ("q", "b", 0)], "qid string, name string, mentioned int")
+    assert [r.name for r in judge.filter_names(stats, none).collect()] == ["a"]
+    scored = spark.createDataFrame([("q", "x", 0.7)], "qid string, rel string, heuristic double")
+    assert judge.triage(scored, none).first().triage == 0.7
+
+
+def test_empty_corpus(spark):
+    empty = as_docs(spark.createDataFrame([], "rel string, body string"))
+    names = spark.createDataFrame([("q", "a", False)], "qid string, part string, plain boolean")
+    assert search.heuristic(empty, names).count() == 0
+    assert search.pick_route(empty, True) == "probe"
+    assert segment.segments(empty).count() == 0
+
+
+def test_stream_equals_table(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "Über ALLES!")], "rel string, body string")
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = incremental.squashed_fields(incremental.arriving(spark, str(tmp_path / "in"), docs.schema))
+    q = stream.writeStream.format("memory").queryName("fields").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r.field for r in spark.sql("select * from fields").collect()] == ["über alles"]
