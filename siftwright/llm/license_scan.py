@@ -104,24 +104,31 @@ def build(templates: dict[str, str]) -> Index:
     return Index(list(templates), words, np.array(sorted(where), dtype=np.uint64), dict(where))
 
 
-def align(a: list[int], b: list[int], shift: int) -> tuple[int, int, int]:
-    """Most words of a matched in order in b with |place in b - place in a - shift| <= BAND; first and last matched place in b."""
-    # A cell keeps (matched, -first place, last place): more matches, then the shortest stretch.
-    none = (0, 0, -1)
+def band_of(n_words: int) -> int:
+    """How far an alignment may drift: a quarter of the template, BAND at most."""
+    return max(1, min(BAND, n_words // 4))
+
+
+def align(a: list[int], b: list[int], shift: int, band: int) -> tuple[int, int, int]:
+    """Most words of a matched in order in b with |place in b - place in a - shift| <= band; first and last matched place in b.
+
+    Of equal matches the one that begins last, then the one that ends first: the tight one.
+    """
+    none = (0, -1, 1)  # matched, first place, -last place
     row: dict[int, tuple[int, int, int]] = {}
     for i, x in enumerate(a):
         new: dict[int, tuple[int, int, int]] = {}
         left = none
-        for d in range(-BAND, BAND + 1):
+        for d in range(-band, band + 1):
             j = i + shift + d
             best = max(left, row.get(d + 1, none))
             if 0 <= j < len(b) and b[j] == x:
                 m, first, _ = row.get(d, none)
-                best = max(best, (m + 1, first if m else -j, j))
+                best = max(best, (m + 1, first if m else j, -j))
             new[d] = left = best
         row = new
     m, first, last = max(row.values())
-    return m, -first, last
+    return m, first, -last
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -158,16 +165,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 out = []
                 for (r, t), shifts in sorted(found.items()):
                     text, words, hits = hashes[begins[r] : begins[r + 1]], index.words[t], []
+                    band = band_of(len(words))
                     groups: list[list[int]] = []
                     for s in sorted(set(shifts)):
-                        if groups and s - groups[-1][0] <= BAND // 2:
+                        if groups and s - groups[-1][0] <= band // 2:
                             groups[-1].append(s)
                         else:
                             groups.append([s])
                     for g in groups:
                         shift = g[len(g) // 2]
-                        lo, hi = max(0, shift - BAND), min(len(text), shift + len(words) + BAND)
-                        m, first, last = align(words, text[lo:hi].tolist(), shift - lo)
+                        lo, hi = max(0, shift - band), min(len(text), shift + len(words) + band)
+                        m, first, last = align(words, text[lo:hi].tolist(), shift - lo, band)
                         if m >= coverage * len(words):
                             hits.append((-m, lo + first, lo + last))
                     taken: list[tuple[int, int]] = []
