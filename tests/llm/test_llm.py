@@ -227,12 +227,12 @@ def test_leaks_equal_brute_force(spark):
     for item in items.collect():
         words = clean(item.text)
         ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        a = np.array([ids[w] for w in words])
+        a = [ids[w] for w in words]
         for doc, t in texts:
             b = [ids.get(w, -1) for w in t]
             step = 2 * len(words)
             for at in range(0, max(1, len(b)), step // 2):
-                part = np.array([x for x in b[at : at + step] if x >= 0])
+                part = [x for x in b[at : at + step] if x >= 0]
                 if len(part) >= 0.7 * len(a) and decontaminate.lcs(a, part) >= 0.7 * len(a):
                     held.add((doc, item.item_id))
     assert len(got & held) >= 0.9 * len(held) and len(got - held) <= 0.1 * len(got) + 1
