@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Labelled URLs that the trees and the suffix statistics are fitted on, at most: the first by a hash of the URL.
+#: The trees and the suffix statistics are fitted on about so many labelled URLs, drawn by a hash of the row.
 SAMPLE = 10_000
 TREES, DEPTH = 15, 3
 
@@ -86,11 +86,12 @@ def _tree(node, names: list[str]) -> Column:
 
 
 def train(labelled: DataFrame) -> tuple[Column, list[tuple]]:
-    """labelled (url, host, path, blocked 0/1) -> the probability of block over features(), and the suffix statistics.
+    """labelled (page_id, url, host, path, blocked 0/1) -> the probability of block over features(), and the suffix statistics.
 
     Of one class alone, the probability is that class; of no row, 0.
     """
-    sample = features(labelled).orderBy(F.xxhash64("url", F.lit(10)), "url").limit(SAMPLE).persist()
+    unit = F.xxhash64("url", "page_id", F.lit(10)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    sample = features(labelled.where(unit < SAMPLE / max(1, labelled.count()))).persist()
     stats = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("blocked").alias("b")).orderBy("suffix").collect()
     n, b = sum(r["n"] for r in stats), sum(r["b"] for r in stats)
     if not 0 < b < n:
@@ -108,7 +109,7 @@ def train(labelled: DataFrame) -> tuple[Column, list[tuple]]:
 
 
 def with_suffix(x: DataFrame, table: list[tuple], prior: float) -> DataFrame:
-    """Add the share and the blocked share of the host's suffix among the labelled URLs (at most SAMPLE suffixes)."""
+    """Add the share and the blocked share of the host's suffix among the labelled URLs (about SAMPLE suffixes at most)."""
     small = x.sparkSession.createDataFrame([r for r in table if r[0] is not None], "suffix string, f_suffix_share double, f_suffix_blocked double")
     return x.join(F.broadcast(small), "suffix", "left").fillna({"f_suffix_share": 0.0, "f_suffix_blocked": prior})
 
@@ -122,7 +123,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     host, path = url_parts(F.col("url"))
     urls = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     urls = urls.withColumn("rule", matched_rule(rules, F.col("host"), F.col("path")))
-    labelled = urls.where("rule is not null and url is not null").select("url", "host", "path", (F.col("rule.verdict") == "block").cast("int").alias("blocked"))
+    labelled = urls.where("rule is not null and url is not null").select("page_id", "url", "host", "path", (F.col("rule.verdict") == "block").cast("int").alias("blocked"))
     p, table = train(labelled)
     if table:
         urls = with_suffix(features(urls), table, table[-1][2])
