@@ -19,7 +19,7 @@ from . import words as W
 from .language_mix import held_out
 
 BUCKETS = 1 << 18
-#: About so many confirmed and so many unlabelled documents are fitted, drawn by a hash of the text.
+#: About so many confirmed and so many unlabelled documents are fitted, drawn by a hash of the text; copies of a drawn text count once.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 3000, 6000
 EPOCHS, RATE, BATCHES, DECAY = 120, 0.1, 8, 1e-5
 PREFIXES = (4, 6)
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     confirmed = train.where((F.col("toxic") == 1) & (unit < SAMPLE_POSITIVE / n_p)).select("text", F.lit(1).alias("toxic"))
     # The estimator takes unlabelled text from the whole population, so confirmed documents may be drawn here too.
     population = train.where(unit < SAMPLE_UNLABELLED / sizes["n"]).select("text", F.lit(0).alias("toxic"))
-    drawn = confirmed.union(population).mapInArrow(_bags, "toxic int, bag array<int>").toArrow()
+    drawn = confirmed.union(population).dropDuplicates(["text", "toxic"]).mapInArrow(_bags, "toxic int, bag array<int>").toArrow()
     bags = [np.asarray(b.values, dtype=np.int64) for b in drawn["bag"]]
     toxic = drawn["toxic"].to_pylist()
     order = sorted(range(len(bags)), key=lambda i: bags[i].tobytes())  # the same model however the rows arrive
