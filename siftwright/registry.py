@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import params as P
 from .functions import text as X
-from .operators import code, judge, lines, probe, rank, report, segment, survey
+from .operators import code, judge, lines, names, probe, rank, report, segment, survey
 from .plans import search
 from .sources import tables as T
 from .sources.tree import stale
@@ -125,6 +125,43 @@ def probe_route(s: SparkSession, d: str) -> DataFrame:
     return found.select("qid", "rel", F.round("rank", 6).alias("rank"), "place", "listed")
 
 
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    s.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("part")
+    return s.sql(T.ASKED_SQL)
+
+
+@_query(f"""with k as (select p_partkey as k, p_name, p_size as z from part), t as (
+select k as qid, 1 as o, 'phrase' as form, p_name || ' now' as value, {_SQUASH.format("p_name || ' now'")} as key from k union all
+select k, 2, 'phrase', 'src/core/m' || k || '.py', 'src core m' || k || ' py' from k union all
+select k, 3, 'id', 'Part' || k || '.price_' || z, 'part' || k || ' price ' || z from k where length(k::varchar || z::varchar) >= 3 union all
+select k, 4, 'id', 'INV-' || (10000 + k), 'inv ' || (10000 + k) from k union all
+select k, 5, 'name', 'Acme Tools & Sons', 'acme tools sons' from k) select qid, row_number() over (partition by qid order by o)::int as pos, form, value, key from t""")
+def probe_terms(s: SparkSession, d: str) -> DataFrame:
+    return names.terms_in(_asked(s, d))
+
+
+@_query("""with k as (select p_partkey as k, p_size as z from part)
+select k as qid, 1::int as pos, 'src/core/m' || k || '.py' as text, 'make_part' || case when length('m' || k) >= 3 then '|m' || k else '' end as parts, 'traceback' as origin from k union all
+select k, 2, 'Part' || k || '.price_' || z, 'Part' || k || '.price_' || z || '|Part' || k || '|price_' || z, 'backtick' from k union all
+select k, 3, 'Size' || z || 'Error', 'Size' || z || 'Error', 'error' from k union all
+select k, 4, 'm' || k || '.py', 'm' || k || '.py' || case when length('m' || k) >= 3 then '|m' || k else '' end, 'dotted' from k union all
+select k, 5, 'price_' || z, 'price_' || z, 'ident' from k union all
+select k, 6, 'make_part', 'make_part', 'ident' from k union all
+select k, 7, '--dry-run', '--dry-run', 'flag' from k""")
+def code_names(s: SparkSession, d: str) -> DataFrame:
+    return names.code_names(_asked(s, d)).select("qid", "pos", "text", F.array_join("parts", "|").alias("parts"), "origin")
+
+
+@_query("""with k as (select 'web/' || lower(replace(p_type, ' ', '_')) || '/w' || p_partkey || '.ts' as rel, p_partkey as k, p_size as z from part)
+select rel, 'Part' || k as name, 1::int as line, 'class' as form, null as owner, 'Base' || z as base from k union all
+select rel, 'price' || z, 2, 'def', 'Part' || k, null from k union all select rel, 'twice', 4, 'def', 'Part' || k, null from k union all
+select rel, 'Shape' || k % 11, 8, 'assign', null, null from k union all select rel, 'make' || k % 7, 9, 'function', null, null from k union all
+select rel, 'limit' || z, 12, 'assign', null, null from k""")
+def script_defs(s: SparkSession, d: str) -> DataFrame:
+    found = lines.script_defs(lines.lines_of(T.corpus(s, d, T.SCRIPT_SQL, "part")))
+    return found.select("rel", "name", "line", "form", "owner", F.try_element_at("bases", F.lit(1)).alias("base"))
+
+
 @_query()
 def probe_chain(s: SparkSession, d: str) -> DataFrame:
     docs = _docs(s, d)
