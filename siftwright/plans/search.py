@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import text as X
-from ..operators import code, lines, probe, rank
+from ..operators import code, judge, lines, names, probe, rank, segment
 
 
-def heuristic(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """docs(rel, size, body), names(qid, part, plain) -> the ranked files of each question, by local evidence alone."""
+def heuristic(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """docs(rel, size, body), asked(qid, part, plain) -> the ranked files of each question, by local evidence alone."""
     every = lines.lines_of(docs)
-    hits = code.grep(every, names)
-    return code.score_files(docs, names, hits, lines.python_defs(every))
+    hits = code.grep(every, asked)
+    return code.score_files(docs, asked, hits, lines.all_defs(every))
 
 
 def probe_route(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -23,6 +26,36 @@ def probe_route(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return rank.rank_docs(found.select("qid", "rel", "peak", "weight", "matched_share"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder that the session names; a folder of this process only where it names none."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="siftwright-"))
+    return df.checkpoint()
+
+
+def probe_hops(docs: DataFrame, questions: DataFrame, verdicts_of: Callable[[DataFrame], DataFrame], hops: int = P.HOPS) -> DataFrame:
+    """questions(qid, body) -> sections(qid, rel, key, body, probability, quoted, via).
+
+    The documents of the questions' terms are judged; then, twice at most, the documents that share a new id with what was found last.
+    All questions go through each hop together; what a hop found is checkpointed, so that plans don't grow from hop to hop.
+    """
+    terms = settled(names.terms_in(questions))
+    picks = settled(probe.match_docs(docs, terms.select("qid", F.col("value").alias("term"))).select("qid", "rel"))
+    known = terms.where("form = 'id'").select("qid", F.col("key").alias("id_key"))
+    pieces = segment.segments(docs).select("rel", F.concat("rel", F.lit(":"), F.col("from"), F.lit("-"), F.col("to")).alias("key"), "body")
+    seen, found, via = picks, None, "probe"
+    for hop in range(hops + 1):
+        judged = settled(judge.two_passes(picks.join(pieces, "rel").select("qid", "rel", "key", "body"), verdicts_of).withColumn("via", F.lit(via)))
+        found = judged if found is None else found.unionByName(judged)
+        if hop == hops:
+            return found
+        ids = settled(names.fresh_ids(judge.donors(judged), known))
+        known, via = known.union(ids.select("qid", "id_key")), "chain"
+        picks = settled(probe.chain(ids, docs, seen=seen).select("qid", "rel"))
+        seen = seen.union(picks)
+
+
 def pick_route(docs: DataFrame, named: bool, mode: str = "auto", share: float = 0.15) -> str:
     """code where 15 % of the front files are source and the question names code, else probe."""
     if mode in ("code", "docs"):
