@@ -96,10 +96,10 @@ def sibling_overrides(defs: DataFrame) -> DataFrame:
 
 
 def outgoing_links(lines: DataFrame, most: int = 30) -> DataFrame:
-    """(rel, name, weight, place): names a file calls (1), imports (2) or derives from (3), summed, without its own."""
+    """(rel, name, weight, place): names a file calls (1), imports (2) or derives from (3), summed, without its own and common ones."""
     calls = lines.select("rel", F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z_][0-9A-Za-z_]*)\s*\("), 1)).alias("name"), F.lit(1).alias("w"))
     named = lines.select("rel", F.explode(F.split(F.regexp_extract("line", r"^\s*from\s+[\w.]+\s+import\s+([^#(]+)", 1), r"\s*,\s*")).alias("name"), F.lit(2).alias("w"))
     bases = lines.select("rel", F.explode(F.split(F.regexp_extract("line", r"^\s*class\s+\w+\s*\(([^)]*)\)", 1), r"\s*,\s*")).alias("name"), F.lit(3).alias("w"))
     own = lines.select("rel", F.regexp_extract("line", r"^\s*(?:async\s+)?(?:def|class)\s+([A-Za-z_][0-9A-Za-z_]*)", 1).alias("name")).where("name <> ''").distinct()
-    every = calls.union(named).union(bases).where("name <> ''").join(own, ["rel", "name"], "left_anti")
+    every = calls.union(named).union(bases).where((F.col("name") != "") & ~F.col("name").isin(*P.COMMON)).join(own, ["rel", "name"], "left_anti")
     return top(every.groupBy("rel", "name").agg(F.sum("w").alias("weight")), ["rel"], [F.desc("weight"), "name"], most)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import text as X
-from ..operators import code, judge, lines, names, probe, rank, segment
+from ..operators import code, judge, lines, links, names, probe, rank, segment, survey
 
 
 def heuristic(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -56,6 +56,33 @@ def probe_hops(docs: DataFrame, questions: DataFrame, verdicts_of: Callable[[Dat
         seen = seen.union(picks)
 
 
+def link_hops(docs: DataFrame, sections: DataFrame, verdicts_of: Callable[[DataFrame], DataFrame], hops: int = P.HOPS) -> DataFrame:
+    """sections(qid, rel, key, title, from, to, body, probability, quoted) -> these and the ones that links lead to, with via.
+
+    From the quoted sections, and then from what they led to, twice at most: the best linked files not judged yet, of each the segments around
+    the linked lines, judged once. Definitions and segments are those of all files; every hop is checkpointed.
+    """
+    every = lines.lines_of(docs)
+    defs, pieces = settled(lines.all_defs(every)), settled(segment.segments(docs))
+    columns = ["qid", "rel", "key", "title", "from", "to", "body", "probability", "quoted", "via"]
+    frontier = sections.withColumn("via", F.lit("grep")).select(columns)
+    found, judged = frontier, settled(sections.select("qid", "rel").distinct())
+    for _ in range(hops):
+        chosen = frontier.where("quoted")
+        targets = settled(links.link_targets(links.all_links(chosen, docs, every, defs), docs, judged))
+        around = links.segments_around(pieces, targets).withColumn("key", F.concat("rel", F.lit("#"), F.col("from"), F.lit("-"), F.col("to")))
+        asks = around.select("qid", F.lit("link").alias("stage"), F.concat(F.lit("s:"), "key").alias("tag"), F.col("body").alias("state"))
+        kept = judge.judge_sections(around, verdicts_of(asks).select("qid", "tag", "probability"))
+        frontier = settled(kept.join(around.drop("pos"), ["qid", "rel", "key"]).withColumn("via", F.lit("link")).select(columns))
+        found, judged = found.unionByName(frontier), judged.union(targets.select("qid", "rel"))
+    return found
+
+
+def survey_route(docs: DataFrame, questions: DataFrame, verdicts_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """docs, questions(qid, body) -> picks(qid, rel, weight, via) of the directory walk, and its problems."""
+    return survey.survey(docs, questions, verdicts_of, settled)
+
+
 def pick_route(docs: DataFrame, named: bool, mode: str = "auto", share: float = 0.15) -> str:
     """code where 15 % of the front files are source and the question names code, else probe."""
     if mode in ("code", "docs"):
