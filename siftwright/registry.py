@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import params as P
 from .functions import text as X
-from .operators import code, judge, lines, names, probe, rank, report, segment, survey
+from .operators import code, judge, lines, links, names, probe, rank, report, segment, survey
 from .plans import search
 from .sources import tables as T
 from .sources.tree import stale
@@ -337,3 +337,92 @@ def problems_fold(s: SparkSession, d: str) -> DataFrame:
 @_query()
 def report_json(s: SparkSession, d: str) -> DataFrame:
     return report.report_json(search.probe_route(_docs(s, d), search.grams(_questions(s, d))), "probe")
+
+
+_PARTS = "with m as (select 'src/' || lower(replace(p_type, ' ', '_')) || '/m' || p_partkey || '.py' as rel, p_size as z, p_partkey as k, p_type from part) "
+
+
+@_query(_PARTS + "select rel, 'LIMIT_' || z as name, 'constant' as form from m")
+def name_uses(s: SparkSession, d: str) -> DataFrame:
+    return links.name_uses(_code(s, d).withColumns({"qid": F.lit(1), "key": F.col("rel")})).select("rel", "name", "form")
+
+
+@_query("select p_partkey as qid, pos::int as pos, text from (select p_partkey, 1 as pos, 'price' || p_size as text from part union all select p_partkey, 2, 'make' || p_partkey % 7 from part union all select p_partkey, 3, 'twice' from part)")
+def defined_words(s: SparkSession, d: str) -> DataFrame:
+    scripts = T.corpus(s, d, T.SCRIPT_SQL, "part")
+    asked = s.sql("select p_partkey as qid, 'Does price' || cast(p_size as string) || ' call make' || cast(p_partkey % 7 as string) || ' twice today?' as body from part")
+    return names.defined_words(asked, lines.all_defs(lines.lines_of(scripts)))
+
+
+def _first_methods(s: SparkSession, d: str) -> DataFrame:
+    """For each size, the price method of its first part."""
+    docs = _code(s, d)
+    own = F.regexp_extract("rel", "m([0-9]+)[.]py$", 1).cast("long")
+    pieces = segment.segments(docs).where("pos = 1").withColumn("qid", F.regexp_extract("title", "price_([0-9]+)$", 1).cast("int"))
+    firsts = pieces.groupBy("qid").agg(F.min_by("rel", own).alias("rel"))
+    return pieces.join(firsts, ["qid", "rel"]).select("qid", F.concat_ws("#", "rel", "pos").alias("key"), "rel", "title", "from", "to", "body")
+
+
+@_query(_PARTS + ", f as (select z, min(k) as k, count(*) as n from m group by z), r as (select m.z as qid, rel, case when n <= 2 then 3.0::double else 2.0::double end as weight from m join f on f.z = m.z and f.k <> m.k), p as (select *, row_number() over (partition by qid order by weight desc, rel) as place from r) select qid, rel, 5::int as line, weight, place::int as place from p where place <= 8")
+def link_targets(s: SparkSession, d: str) -> DataFrame:
+    docs, chosen = _code(s, d), _first_methods(s, d)
+    every = lines.lines_of(docs)
+    found = links.all_links(chosen, docs, every, lines.all_defs(every))
+    return links.link_targets(found, docs, chosen.select("qid", "rel")).select("qid", "rel", F.element_at("at", 1).alias("line"), "weight", "place")
+
+
+@_query(_PARTS + "select 1::int as qid, rel, 1::int as pos, 'Part' || k || '.price_' || z as title from m union all select 1, rel, 2, 'Part' || k || '.name_' || k % 7 from m")
+def segments_around(s: SparkSession, d: str) -> DataFrame:
+    docs = _code(s, d)
+    targets = docs.select(F.lit(1).alias("qid"), "rel", F.array(F.lit(5), F.lit(9)).alias("at"))
+    return links.segments_around(segment.segments(docs), targets).select("qid", "rel", "pos", "title")
+
+
+@_query(f"with t as (select conv_id as qid, 'conv/' || conv_id as rel, conv_id || ':' || turn as key from conversations), v as (select *, {_verdict("'s:' || key")} as p from t) select qid, rel, key, round(p, 6) as probability, p >= 0.5 as quoted from v where p >= 0.25")
+def judge_two_pass(s: SparkSession, d: str) -> DataFrame:
+    s.read.parquet(f"{d}/conversations.parquet").createOrReplaceTempView("conversations")
+    turns = s.sql("select conv_id as qid, 'conv/' || cast(conv_id as string) as rel, concat_ws(':', conv_id, turn) as key, text as body from conversations")
+    return judge.two_passes(turns, judge.hash_verdicts).select("qid", "rel", "key", F.round("probability", 6).alias("probability"), "quoted")
+
+
+def _types(s: SparkSession, d: str) -> DataFrame:
+    """A question for each type of part: its directory in quotes."""
+    part = s.read.parquet(f"{d}/part.parquet")
+    return part.groupBy("p_type").agg(F.min("p_partkey").alias("qid")).select("qid", F.concat(F.lit('Show "src '), F.lower("p_type"), F.lit('" parts of 2024')).alias("body"))
+
+
+_TOKENS = _PARTS + ", q as (select min(k) as qid, lower(p_type) as word from m group by lower(p_type)), lex as (select qid, word as token, true as strong from q union all select qid, 'src', true from q union all select qid, 'parts', false from q)"
+
+
+@_query(_TOKENS + " select qid, token, strong from lex")
+def survey_tokens(s: SparkSession, d: str) -> DataFrame:
+    return survey.lexicon(_types(s, d))
+
+
+@_query(_TOKENS + """, words as (select distinct p_type, unnest(['src', 'py', lower(p_type)]) as word from m), hit as (select qid, p_type, count(distinct token) as hits, count(distinct case when strong then token end) as strong from lex join words on word = token or (length(token) >= 4 and starts_with(word, token)) group by qid, p_type),
+ p as (select qid, rel, hits, strong, row_number() over (partition by qid order by strong desc, hits desc, rel) as place from hit join m using (p_type) where strong >= 2 or (strong >= 1 and hits >= 2)) select qid, rel, hits::bigint as hits, round(least(0.45, 0.2 + 0.1 * hits)::double, 6) as weight, place::int as place from p where place <= 24""")
+def survey_fallback(s: SparkSession, d: str) -> DataFrame:
+    fits = survey.evidence(_code(s, d).select("rel"), survey.lexicon(_types(s, d))).where("fits")
+    found = survey.rank_by_query(fits, P.FALLBACK_MOST)
+    return found.select("qid", "rel", "hits", F.round(F.least(F.lit(0.45), 0.2 + 0.1 * F.col("hits")).cast("double"), 6).alias("weight"), "place")
+
+
+@_query(_D + f""", f as (select rel, split_part(rel, '/', 1) as a, split_part(rel, '/', 1) || '/' || split_part(rel, '/', 2) as b, split_part(rel, '/', 3) as name from docs),
+ picked as (select rel, {_PEAK} as p, row_number() over (order by a, split_part(b, '/', 2), name) as place from f where {_verdict("'d:' || a")} >= 0.5 and {_verdict("'d:' || b")} >= 0.5 and {_PEAK} >= 0.25)
+ select item_id as qid, rel, round(p, 6) as weight, place::int as place from picked, benchmark where place <= 80""")
+def survey_walk(s: SparkSession, d: str) -> DataFrame:
+    """Every question walks the same tree: its words stand in no path, and a verdict depends on the path alone."""
+    lex = _questions(s, d).select("qid", F.lit("zzzz").alias("token"), F.lit(False).alias("strong"))
+    found, _ = survey.walk(_docs(s, d), lex, judge.hash_verdicts, search.settled)
+    return found.select("qid", "rel", F.round("weight", 6).alias("weight"), F.col("at").alias("place"))
+
+
+@_query()
+def link_hops(s: SparkSession, d: str) -> DataFrame:
+    first = _first_methods(s, d).withColumns({"probability": F.lit(0.9), "quoted": F.lit(True)})
+    return search.link_hops(_code(s, d), first, judge.hash_verdicts).select("qid", "rel", "key", F.round("probability", 6).alias("probability"), "quoted", "via")
+
+
+@_query()
+def segments_script(s: SparkSession, d: str) -> DataFrame:
+    return segment.segments(T.corpus(s, d, T.SCRIPT_SQL, "part")).select("rel", "pos", "title", "from", "to", "shape")
