@@ -34,22 +34,49 @@ def name_stats(hits: DataFrame, defs: DataFrame) -> DataFrame:
     return files.join(own, ["rel", "part"], "left").groupBy("part").agg(F.count("*").alias("mentioned"), F.count("own").alias("defined"))
 
 
-def score_files(docs: DataFrame, names: DataFrame, hits: DataFrame, defs: DataFrame, keep: int = P.SCORE_KEEP) -> DataFrame:
+def definers(names: DataFrame, defs: DataFrame) -> DataFrame:
+    """names(part), defs -> (rel, part): files that define a part; a dotted part by its last word, in a class of the word before or as a class itself."""
+    parts = names.select("part").distinct().withColumn("leaf", F.substring_index("part", ".", -1)).withColumn("within", F.try_element_at(F.split("part", r"\."), F.lit(-2)))
+    found = parts.join(defs.select("rel", F.col("name").alias("leaf"), "form", "owner"), "leaf")
+    return found.where(F.col("within").isNull() | (F.col("owner") == F.col("within")) | (F.col("form") == "class")).select("rel", "part").distinct()
+
+
+def hints_of(named: DataFrame) -> DataFrame:
+    """named(qid, text, file) -> hints(qid, modules, traces): dotted names as paths of two words or more, and files of tracebacks."""
+    bits = F.split(F.lower("text"), r"\.")
+    paths = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(bits))), lambda n: F.array_join(F.slice(bits, F.lit(1), n), "/"))
+    dotted = F.contains("text", F.lit(".")) & ~F.contains("text", F.lit("/"))
+    per = named.select("qid", F.when(dotted, paths).alias("paths"), F.replace("file", F.lit("\\"), F.lit("/")).alias("file"))
+    return per.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("paths"))).alias("modules"), F.collect_set("file").alias("traces"))
+
+
+def score_files(docs: DataFrame, names: DataFrame, hits: DataFrame, defs: DataFrame, keep: int = P.SCORE_KEEP, hints: DataFrame | None = None) -> DataFrame:
     """docs, names(qid, part, plain), hits(rel, part, n), defs -> (qid, rel, kind, heuristic, place).
 
-    A file's score sums the rarity of the parts it mentions (half for plain words, threefold where it defines them), times 1.5 where its stem is a part and times the weight of its kind,
-    over the best score of the question.
+    A file's score sums the rarity of the parts it mentions (half for plain words, threefold where it defines them), doubled where a
+    dotted name of the question is its path, times 1.5 where its stem is the last word of a part and times the weight of its kind, over the
+    best score of the question. A file that a traceback names comes before all others. hints(qid, modules, traces) hold the names of a question.
     """
     files = hits.select("rel", "part").distinct()
     idf = rarity(files, docs.agg(F.count("*").alias("n_docs")))
-    own = defs.select("rel", F.col("name").alias("part")).distinct().withColumn("own", F.lit(1))
+    own = definers(names, defs).withColumn("own", F.lit(1))
     worth = F.col("idf") * F.when(F.col("plain"), P.PLAIN).otherwise(1.0) * F.when(F.col("own") == 1, P.DEFINES).otherwise(1.0)
-    stem = F.lower(F.regexp_extract("rel", r"([^/.]*)[^/]*$", 1))
     per = names.join(files, "part").join(idf, "part").join(own, ["rel", "part"], "left")
-    raw = per.groupBy("qid", "rel").agg(F.sum(worth).alias("raw"), F.max((F.lower("part") == stem).cast("int")).alias("stem"))
+    raw = per.groupBy("qid", "rel").agg(F.sum(worth).alias("raw"))
+    stems = names.groupBy("qid").agg(F.collect_set(F.lower(F.substring_index("part", ".", -1))).alias("stems"))
     kinds = docs.select("rel", X.file_kind(F.col("rel"), F.col("body"), F.col("size")).alias("kind"))
-    scored = raw.join(kinds, "rel").withColumn("raw", F.col("raw") * F.when(F.col("stem") == 1, P.STEM).otherwise(1.0) * X.kind_weight(F.col("kind")))
-    best = F.max("raw").over(Window.partitionBy("qid"))
+    scored = raw.join(kinds, "rel").join(stems, "qid")
+    low = F.lower("rel")
+    boost = F.when(F.array_contains("stems", F.regexp_replace(F.substring_index(low, "/", -1), r"\.\w+$", "")), P.STEM).otherwise(1.0)
+    traced = F.lit(False)
+    if hints is not None:
+        scored = scored.join(hints, "qid", "left")
+        boost = boost * F.when(F.exists("modules", lambda m: F.contains(low, F.concat(m, F.lit("/"))) | F.endswith(low, F.concat(m, F.lit(".py")))), P.MODULE).otherwise(1.0)
+        traced = (X.kind_weight(F.col("kind")) > 0) & F.coalesce(F.exists("traces", lambda f: F.endswith(f, F.substring_index("rel", "/", -2))), F.lit(False))
+    scored = scored.withColumn("raw", F.col("raw") * boost * X.kind_weight(F.col("kind"))).withColumn("traced", traced)
+    question = Window.partitionBy("qid")
+    scored = scored.withColumn("raw", F.when(F.col("traced"), P.TRACED * F.max("raw").over(question)).otherwise(F.col("raw")))
+    best = F.max("raw").over(question)
     scored = scored.withColumn("heuristic", F.when(best > 0, F.col("raw") / best).otherwise(0.0))
     return top(scored.select("qid", "rel", "kind", "heuristic"), ["qid"], [F.desc(F.round("heuristic", 9)), "rel"], keep)
 

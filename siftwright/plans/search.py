@@ -78,6 +78,40 @@ def link_hops(docs: DataFrame, sections: DataFrame, verdicts_of: Callable[[DataF
     return found
 
 
+def code_route(docs: DataFrame, questions: DataFrame, verdicts_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """docs, questions(qid, body) -> files(qid, rel, value, place) and sections(qid, rel, key, ..., via) of questions about code.
+
+    Names of the question and its plain words that are defined somewhere; names that verdicts keep; files by local evidence (a question
+    without any takes the directory walk's); the best by verdicts; their declarations, judged; two hops along links; ranks, fused with the scores.
+    """
+    every = lines.lines_of(docs)
+    defs = settled(lines.all_defs(every))
+    plain = names.defined_words(questions, defs).select("qid", "text", F.array("text").alias("parts"), F.lit("plain").alias("origin"), F.lit(None).cast("string").alias("file"))
+    named = settled(names.code_names(questions).drop("pos").unionByName(plain))
+    spread = named.select("qid", "text", "origin", F.explode("parts").alias("part"))
+    hits = settled(code.grep(every, spread))
+    mentioned = spread.join(hits.select("rel", "part").distinct(), "part").groupBy("qid", F.col("text").alias("name")).agg(F.countDistinct("rel").alias("mentioned"))
+    asks = lambda t, stage, tag: t.select("qid", F.lit(stage).alias("stage"), tag.alias("tag"), F.lit("").alias("state"))
+    kept = judge.filter_names(mentioned, verdicts_of(asks(mentioned, "names", F.concat(F.lit("n:"), "name"))).select("qid", "tag", "probability"))
+    kept = settled(named.join(kept.select("qid", F.col("name").alias("text")), ["qid", "text"], "left_semi"))
+    parts = kept.select("qid", "origin", F.explode("parts").alias("part")).groupBy("qid", "part").agg(F.min((F.col("origin") == "plain").cast("int")).cast("boolean").alias("plain"))
+    scored = settled(code.score_files(docs, parts, hits, defs, hints=code.hints_of(kept)))
+    silent = questions.join(scored.select("qid").distinct(), "qid", "left_anti")
+    walked, _ = survey.survey(docs, settled(silent), verdicts_of, settled, P.SURVEY_VISITS)
+    kinds = docs.select("rel", X.file_kind(F.col("rel"), F.col("body"), F.col("size")).alias("kind"))
+    walked = walked.join(kinds, "rel").select("qid", "rel", "kind", (F.col("weight") * X.kind_weight(F.col("kind"))).alias("heuristic"))
+    scored = settled(scored.unionByName(lines.top(walked, ["qid"], [F.desc("heuristic"), "rel"], P.SCORE_KEEP)))
+    triaged = settled(judge.triage(scored.select("qid", "rel", "heuristic"), verdicts_of(asks(scored, "triage", F.concat(F.lit("t:"), "rel"))).select("qid", "tag", "probability")))
+    pieces = judge.declaration_segments(segment.segments(docs), triaged.select("qid", "rel"), hits, parts.select("qid", "part"))
+    pieces = settled(pieces.withColumn("key", F.concat("rel", F.lit("#"), F.col("from"), F.lit("-"), F.col("to"))))
+    said = verdicts_of(pieces.select("qid", F.lit("judge").alias("stage"), F.concat(F.lit("s:"), "key").alias("tag"), F.col("body").alias("state"))).select("qid", "tag", "probability")
+    first = settled(judge.judge_sections(pieces, said).join(pieces.drop("pos"), ["qid", "rel", "key"]))
+    sections = settled(link_hops(docs, first, verdicts_of))
+    peaks = sections.groupBy("qid", "rel").agg(F.max("probability").alias("peak")).join(triaged.select("qid", "rel", "triage"), ["qid", "rel"], "left").join(kinds, "rel")
+    ranked = rank.rank_code(peaks.select("qid", "rel", "peak", F.coalesce("triage", F.lit(P.LINK_TRIAGE)).alias("triage"), X.kind_weight(F.col("kind")).alias("kind_weight")))
+    return rank.fuse(ranked.select("qid", "rel", F.col("score").alias("rank")), scored.select("qid", "rel", "heuristic", "place")), sections
+
+
 def survey_route(docs: DataFrame, questions: DataFrame, verdicts_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """docs, questions(qid, body) -> picks(qid, rel, weight, via) of the directory walk, and its problems."""
     return survey.survey(docs, questions, verdicts_of, settled)

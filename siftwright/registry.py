@@ -426,3 +426,17 @@ def link_hops(s: SparkSession, d: str) -> DataFrame:
 @_query()
 def segments_script(s: SparkSession, d: str) -> DataFrame:
     return segment.segments(T.corpus(s, d, T.SCRIPT_SQL, "part")).select("rel", "pos", "title", "from", "to", "shape")
+
+
+@_query()
+def code_route(s: SparkSession, d: str) -> DataFrame:
+    ranked, _ = search.code_route(_code(s, d), _asked(s, d), judge.hash_verdicts)
+    return ranked.select("qid", "rel", F.round("value", 6).alias("value"), "place")
+
+
+@_query()
+def declaration_segments(s: SparkSession, d: str) -> DataFrame:
+    docs, asked = _code(s, d), _names(s, d)
+    hits = code.grep(lines.lines_of(docs), asked)
+    picks = search.heuristic(docs, asked).select("qid", "rel")
+    return judge.declaration_segments(segment.segments(docs), picks, hits, asked).select("qid", "rel", "pos", "title", "from", "to")

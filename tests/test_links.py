@@ -139,3 +139,29 @@ def test_survey_falls_back_to_paths(spark):
     assert {r.qid for r in got.collect()} <= {1, 2}
     nothing, problems = search.survey_route(_docs(spark, {"x.txt": ""}).where("false"), q, empty)
     assert nothing.count() == 0 and problems.count() == 0
+
+
+def test_scores_by_path_traceback_and_owner(spark):
+    from siftwright.operators import code
+
+    files = {"pkg/core/base.py": "class Frame:\n    def size(self):\n        pass\n", "pkg/other.py": "def size():\n    pass\n# Frame.size\n", "run/job.py": "x = Frame.size\n", "c.test.py": "Frame.size\n"}
+    docs = _docs(spark, files)
+    every = lines.lines_of(docs)
+    q = spark.createDataFrame([(1, "why does `core.base.Frame.size` fail?"), (2, 'see `Frame.size` in File "/home/me/run/job.py", line 1, in main_part')], "qid int, body string")
+    named = names.code_names(q)
+    parts = named.select("qid", F.explode("parts").alias("part"), F.lit(False).alias("plain")).distinct()
+    defs = lines.all_defs(every)
+    assert _rows(code.definers(spark.createDataFrame([("Frame.size",), ("size",), ("Frame",)], "part string"), defs), "rel", "part") == [("pkg/core/base.py", "Frame"), ("pkg/core/base.py", "Frame.size"), ("pkg/core/base.py", "size"), ("pkg/other.py", "size")]
+    got = code.score_files(docs, parts, code.grep(every, parts), defs, hints=code.hints_of(named)).where("place = 1")
+    assert _rows(got, "qid", "rel", "heuristic") == [(1, "pkg/core/base.py", 1.0), (2, "run/job.py", 1.0)]
+
+
+def test_code_route(spark):
+    docs = _docs(spark)
+    q = spark.createDataFrame([(1, "How does `help_me` work?"), (2, "nothing known"), (3, None)], "qid int, body string")
+    sure = lambda asks: asks.select("qid", "tag", F.when(F.col("tag").rlike("^[df]:"), 0.0).otherwise(0.8).alias("probability"))
+    ranked, sections = search.code_route(docs, q, sure)
+    got = [r.rel for r in ranked.where("qid = 1").orderBy("place").collect()]
+    assert got[0] == "core/tools.py" and {"app/main.py", "core/impl_a.py"} <= set(got)
+    assert {r.via for r in sections.where("rel = 'core/tools.py'").collect()} == {"grep"}
+    assert {r.qid for r in ranked.collect()} == {1}
