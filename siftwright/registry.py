@@ -52,6 +52,7 @@ def _names(s: SparkSession, d: str) -> DataFrame:
     return sizes.select("qid", F.explode(F.array(F.struct(name("price_").alias("part"), F.lit(False).alias("plain")), F.struct(name("Base").alias("part"), F.lit(True).alias("plain")))).alias("x")).select("qid", "x.*")
 
 
+_PARTS = "with m as (select 'src/' || lower(replace(p_type, ' ', '_')) || '/m' || p_partkey || '.py' as rel, p_size as z, p_partkey as k, p_type from part) "
 _D = f"with docs as ({T.DOCS_SQL}) "
 _C = f"with docs as ({T.CODE_SQL}), lines as (select rel, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as n from docs) "
 _SQUASH = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -207,7 +208,7 @@ def heuristic_score(s: SparkSession, d: str) -> DataFrame:
     return search.heuristic(_code(s, d), _names(s, d)).select("qid", "rel", "kind", F.round("heuristic", 6).alias("heuristic"), "place")
 
 
-@_query()
+@_query(_PARTS + "select rel, 1::int as \"from\", 4::int as \"to\" from m union all select rel, 3, 7 from m union all select rel, 7, 11 from m")
 def match_windows(s: SparkSession, d: str) -> DataFrame:
     docs = _code(s, d)
     hits = code.grep(lines.lines_of(docs), _names(s, d))
@@ -257,7 +258,7 @@ def segments_python(s: SparkSession, d: str) -> DataFrame:
     return segment.segments(_code(s, d)).select("rel", "pos", "title", "from", "to")
 
 
-@_query()
+@_query(_PARTS + "select rel, 0::int as pos, 'Part' || k as title, 1::bigint as score, 1::int as place from m union all select rel, 1, 'Part' || k || '.price_' || z, 1, 2 from m union all select rel, 2, 'Part' || k || '.name_' || k % 7, 1, 3 from m")
 def decl_pick(s: SparkSession, d: str) -> DataFrame:
     docs = _code(s, d)
     return judge.declarations(segment.segments(docs), code.grep(lines.lines_of(docs), _names(s, d)))
@@ -316,7 +317,7 @@ def dir_tree(s: SparkSession, d: str) -> DataFrame:
     return survey.dir_tree(_docs(s, d))
 
 
-@_query()
+@_query(_PARTS + "select a.k as qid, b.rel, 1::bigint as hits from m a join m b on starts_with(lower(b.p_type), lower(a.p_type)) where length(a.p_type) >= 4")
 def survey_path_hits(s: SparkSession, d: str) -> DataFrame:
     asked = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("qid"), F.col("p_type").alias("body"))
     return survey.path_hits(_code(s, d), survey.query_tokens(asked))
@@ -339,9 +340,6 @@ def report_json(s: SparkSession, d: str) -> DataFrame:
     return report.report_json(search.probe_route(_docs(s, d), search.grams(_questions(s, d))), "probe")
 
 
-_PARTS = "with m as (select 'src/' || lower(replace(p_type, ' ', '_')) || '/m' || p_partkey || '.py' as rel, p_size as z, p_partkey as k, p_type from part) "
-
-
 @_query(_PARTS + "select rel, 'LIMIT_' || z as name, 'constant' as form from m")
 def name_uses(s: SparkSession, d: str) -> DataFrame:
     return links.name_uses(_code(s, d).withColumns({"qid": F.lit(1), "key": F.col("rel")})).select("rel", "name", "form")
@@ -423,7 +421,8 @@ def link_hops(s: SparkSession, d: str) -> DataFrame:
     return search.link_hops(_code(s, d), first, judge.hash_verdicts).select("qid", "rel", "key", F.round("probability", 6).alias("probability"), "quoted", "via")
 
 
-@_query()
+@_query("""with m as (select 'web/' || lower(replace(p_type, ' ', '_')) || '/w' || p_partkey || '.ts' as rel, p_size as z, p_partkey as k from part)
+select rel, 0::int as pos, 'Part' || k as title, 1::int as "from", 7::int as "to", 'declaration' as shape from m union all select rel, 1, 'Part' || k || '.price' || z, 2, 6, 'declaration' from m union all select rel, 2, 'make' || k % 7, 9, 12, 'declaration' from m""")
 def segments_script(s: SparkSession, d: str) -> DataFrame:
     return segment.segments(T.corpus(s, d, T.SCRIPT_SQL, "part")).select("rel", "pos", "title", "from", "to", "shape")
 
