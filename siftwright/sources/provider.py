@@ -1,6 +1,6 @@
 """Verdicts from a model behind HTTP: one POST for each batch of asks.
 
-Executors post the batches of their partition one after another, so the number of partitions is the width. The endpoint
+Each task posts batches of its partition in a few threads, whose number follows the endpoint's rate limits. The endpoint
 takes {"state", "questions": {tag: {"type", "instructions"}}} and answers {"answers": {tag: {field: probability}}}.
 """
 
@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -91,15 +93,56 @@ def read_answers(body: dict, tags: list[str], field: str) -> list[float]:
     return out
 
 
-def post(endpoint: Endpoint, asks: list[tuple[str, str, str]]) -> list[float]:
+class Slots:
+    """How many requests of a task may be under way: halved once for each wave of rate limits, one more after as many good answers as there are slots.
+
+    Only answers that came while all slots were taken count. Next to the number that last met a limit it takes 16 times as many.
+    """
+
+    def __init__(self, most: int, slow: int = 16, clock: Callable[[], float] = time.monotonic) -> None:
+        self.most, self.slow, self.clock = most, slow, clock
+        self.limit, self.ceiling, self.busy, self.good, self.calm = most, most + 1, 0, 0, 0.0
+        self.free = threading.Condition()
+
+    def take(self) -> None:
+        with self.free:
+            self.free.wait_for(lambda: self.busy < self.limit)
+            self.busy += 1
+
+    def give(self, limited: bool, good: bool, wait: float) -> None:
+        with self.free:
+            full, self.busy = self.busy >= self.limit, self.busy - 1
+            if limited and self.clock() >= self.calm:
+                self.ceiling, self.limit, self.good, self.calm = self.limit, max(1, self.limit // 2), 0, self.clock() + wait
+            elif good and full and self.limit < self.most:
+                self.good += 1
+                if self.good >= self.limit * (self.slow if self.limit + 1 >= self.ceiling else 1):
+                    self.limit, self.good = self.limit + 1, 0
+            self.free.notify_all()
+
+
+def sent(endpoint: Endpoint, request: dict, slots: Slots | None) -> tuple[int, dict, dict, ProviderError | None]:
+    """The answer to one request, made in a slot, and what it means if it is none."""
+    if slots:
+        slots.take()
+    error, status = None, 0
+    try:
+        status, headers, body = endpoint.send(request)
+        error = None if status == 200 else failure(status, headers, body, endpoint.pause)
+        return status, headers, body, error
+    finally:
+        if slots:
+            slots.give(status == 429, status == 200, error.wait if error else 0.0)
+
+
+def post(endpoint: Endpoint, asks: list[tuple[str, str, str]], slots: Slots | None = None) -> list[float]:
     """asks (tag, prompt, state) -> probabilities, tried again on rate limits and passing failures."""
     request = {"state": {"documents": sorted({s for _, _, s in asks})}, "questions": {t: {"type": endpoint.field, "instructions": p} for t, p, _ in asks}}
     limited = passing = 0
     while True:
-        status, headers, body = endpoint.send(request)
-        if status == 200:
+        _, _, body, error = sent(endpoint, request, slots)
+        if error is None:
             return read_answers(body, [t for t, _, _ in asks], endpoint.field)
-        error = failure(status, headers, body, endpoint.pause)
         limited += error.code == "rate-limit"
         passing += error.transient
         if (error.code == "rate-limit" and limited < endpoint.rate_attempts) or (error.transient and passing <= endpoint.transient_retries):
@@ -108,29 +151,37 @@ def post(endpoint: Endpoint, asks: list[tuple[str, str, str]]) -> list[float]:
         raise error
 
 
-def ask(endpoint: Endpoint, asks: list[tuple[str, str, str]], cut: bool = False) -> list[tuple[float | None, str | None]]:
+def ask(endpoint: Endpoint, asks: list[tuple[str, str, str]], cut: bool = False, slots: Slots | None = None) -> list[tuple[float | None, str | None]]:
     """(probability, problem) of each ask. Too large a batch is halved, and a single ask's state cut to half once; refused keys raise."""
     try:
-        return [(p, None) for p in post(endpoint, asks)]
+        return [(p, None) for p in post(endpoint, asks, slots)]
     except ProviderError as e:
         if e.code == "auth":
             raise
         if e.code == "token-limit" and len(asks) > 1:
             mid = len(asks) // 2
-            return ask(endpoint, asks[:mid]) + ask(endpoint, asks[mid:])
+            return ask(endpoint, asks[:mid], slots=slots) + ask(endpoint, asks[mid:], slots=slots)
         if e.code == "token-limit" and not cut and len(asks[0][2]) > 1:
             tag, prompt, state = asks[0]
-            return ask(endpoint, [(tag, prompt, state[: len(state) // 2])], cut=True)
+            return ask(endpoint, [(tag, prompt, state[: len(state) // 2])], cut=True, slots=slots)
         return [(None, f"{e.code}: {e}")] * len(asks)
 
 
-def http_verdicts(asks: DataFrame, endpoint: Endpoint, width: int = 16, most: int = P.ASK_CAP, size: int = P.ASK_BYTES) -> DataFrame:
+def http_verdicts(asks: DataFrame, endpoint: Endpoint, width: int = 16, most: int = P.ASK_CAP, size: int = P.ASK_BYTES, lanes: int = 4) -> DataFrame:
     """asks(qid, tag, prompt, state) -> verdicts(qid, tag, probability, problem); batches hold one question's asks, up to `most` and `size` bytes.
 
-    Asks are dealt by question and tag, so no question's asks all meet in one task.
+    Asks are dealt by question and tag, so no question's asks all meet in one task; a task posts in `lanes` threads at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = Slots(lanes)
+        pool = ThreadPoolExecutor(lanes)
+        try:
+            yield from answers(batches, pool, slots)
+        finally:
+            pool.shutdown(cancel_futures=True)
+
+    def answers(batches: Iterator[pa.RecordBatch], pool: ThreadPoolExecutor, slots: Slots) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("qid", "tag", "prompt", "state")), strict=True))
             packed: list[list[tuple]] = []
@@ -142,8 +193,8 @@ def http_verdicts(asks: DataFrame, endpoint: Endpoint, width: int = 16, most: in
                     used = 0
                 packed[-1].append(row)
                 used += n
-            for rows_ in packed:
-                found = ask(endpoint, [(t, p, s or "") for _, t, p, s in rows_])
+            every = pool.map(lambda rows_: ask(endpoint, [(t, p, s or "") for _, t, p, s in rows_], slots=slots), packed)
+            for rows_, found in zip(packed, every, strict=True):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows_], pa.int64()), pa.array([r[1] for r in rows_], pa.string()), pa.array([p for p, _ in found], pa.float64()), pa.array([x for _, x in found], pa.string())],
                     names=["qid", "tag", "probability", "problem"],

@@ -165,3 +165,34 @@ def test_code_route(spark):
     assert got[0] == "core/tools.py" and {"app/main.py", "core/impl_a.py"} <= set(got)
     assert {r.via for r in sections.where("rel = 'core/tools.py'").collect()} == {"grep"}
     assert {r.qid for r in ranked.collect()} == {1}
+
+
+def test_slots_follow_rate_limits():
+    from siftwright.sources.provider import Slots
+
+    now = [0.0]
+    slots = Slots(8, clock=lambda: now[0])
+
+    def wave(n, limited=False, good=True):
+        for _ in range(n):
+            slots.take()
+        for _ in range(n):
+            slots.give(limited, good, 5.0)
+
+    wave(8, limited=True, good=False)
+    assert slots.limit == 4  # once for the whole wave
+    now[0] = 6.0
+    wave(2, limited=True, good=False)
+    assert slots.limit == 2
+    for _ in range(2):
+        wave(2)
+    assert slots.limit == 3  # two answers while both slots were taken
+    for _ in range(47):
+        wave(3)
+    assert slots.limit == 3  # beside the limit met before it takes 48
+    wave(3)
+    assert slots.limit == 4 and slots.busy == 0
+    wave(1)
+    slots.take()
+    slots.give(False, False, 0.0)
+    assert slots.limit == 4
