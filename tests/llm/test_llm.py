@@ -258,6 +258,15 @@ def test_leak_edges(spark, edge, empty):
     assert decontaminate.leaks(edge, items.where("false")).count() == 0
 
 
+def test_passage_in_a_third_of_the_documents(spark):
+    item = "the cat sat by a door and then it went to look for some food in that old house near our river"
+    rows = [(i, f"w{i} x{i % 7} y{i % 11} " * 20 + (item if i % 3 == 0 else f"z{i} " * 5)) for i in range(300)]
+    items = spark.createDataFrame([(1, item), (2, "quite another passage with its own words for the same corpus here")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(i, 1) for i in range(0, 300, 3)}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, items).collect()} == {i for i in range(300) if i % 3}
+
+
 def test_chat_reads_back(spark):
     said = ["", "\\", "<|end|>\n", "<\\|", "</s>[INST] ok [/INST]", "[\\INST]", "\\\\<s>", "a\nb", "<|turn|>user\n", None]
     rows = [(i, t, role, text) for i, text in enumerate(said) for t, role in enumerate(("user", "assistant", "we\\ird\nrole <s>", None))]
