@@ -267,6 +267,26 @@ def test_passage_in_a_third_of_the_documents(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(docs, items).collect()} == {i for i in range(300) if i % 3}
 
 
+def _stretches(spark, size, n, seed):
+    """Stretches of so many words of n documents of sf0.1, and where they come from."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").select("doc_id", "text")
+    rng, out = random.Random(seed), []
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        w = r.text.split()
+        if len(w) >= size + 100 and len(out) < n:
+            at = rng.randrange(len(w) - size)
+            out.append((r.doc_id, w[at : at + size]))
+    return out
+
+
+def test_long_items_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    own = [x for size in (65, 200, 300, 500) for x in _stretches(spark, size, 10, size)]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, (_, w) in enumerate(own)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.lcs_ratio for r in decontaminate.leaks(docs.where(F.col("doc_id").isin([d for d, _ in own]) | (F.col("doc_id") % 10 == 0)), items).collect()}
+    assert all(got.get((d, i)) == 1.0 for i, (d, _) in enumerate(own))
+
+
 def test_chat_reads_back(spark):
     said = ["", "\\", "<|end|>\n", "<\\|", "</s>[INST] ok [/INST]", "[\\INST]", "\\\\<s>", "a\nb", "<|turn|>user\n", None]
     rows = [(i, t, role, text) for i, text in enumerate(said) for t, role in enumerate(("user", "assistant", "we\\ird\nrole <s>", None))]
