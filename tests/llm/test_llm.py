@@ -287,6 +287,27 @@ def test_long_items_are_found(spark):
     assert all(got.get((d, i)) == 1.0 for i, (d, _) in enumerate(own))
 
 
+def test_benchmark_larger_than_the_rank(spark):
+    rng, found = random.Random(5), _stretches(spark, 38, 1000, 5)
+    items = spark.createDataFrame([(i, " ".join(w)) for i, (_, w) in enumerate(found)], "item_id long, text string")
+    clean = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    rows, sure = [], set()
+    for i, (_, w) in enumerate(found):
+        changed = list(w)
+        for j in rng.sample(range(len(w)), len(w) // 4):
+            changed[j] = "changed"
+        other = found[(i + 1) % len(found)][1] + found[(i + 2) % len(found)][1]
+        ids = {x: k for k, x in enumerate(dict.fromkeys(clean(" ".join(w))))}
+        a, b = ([ids.get(x, -1) for x in clean(" ".join(t))] for t in (w, changed))
+        if decontaminate.lcs(a, b) >= 0.7 * len(a):
+            sure.add(i)
+        rows += [(i, " ".join(other + w + other)), (10_000 + i, " ".join(other + changed + other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert all((i, i) in got for i in range(len(found)))
+    assert len(sure) > 0.9 * len(found) and all((10_000 + i, i) in got for i in sure)
+
+
 def test_chat_reads_back(spark):
     said = ["", "\\", "<|end|>\n", "<\\|", "</s>[INST] ok [/INST]", "[\\INST]", "\\\\<s>", "a\nb", "<|turn|>user\n", None]
     rows = [(i, t, role, text) for i, text in enumerate(said) for t, role in enumerate(("user", "assistant", "we\\ird\nrole <s>", None))]
