@@ -337,6 +337,15 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), url_filter.RULES).count() == 0
 
 
+def test_isc_is_whole(spark):
+    text = license_scan.TEMPLATES["ISC"].partition("IN NO EVENT")[0] + (
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    )
+    (r,) = license_scan.scan(spark.createDataFrame([(1, text + " And more.")], "doc_id long, text string")).collect()
+    assert (r.license, r.coverage, r.first_byte) == ("ISC", 1.0, 0) and text[: r.end_byte].endswith("THIS SOFTWARE")
+
+
 def test_license_scan(spark, edge, empty):
     mit = license_scan.TEMPLATES["MIT"]
     broken = " ".join(w for i, w in enumerate(mit.split()) if i % 17)
