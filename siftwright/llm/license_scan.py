@@ -3,7 +3,8 @@
 Method: every template is cut into three-word shingles and winnowed (the least hash of each window of three), which
 an inverted index maps to template and place. A document's winnowed shingles are looked up; hits of one template on
 neighbouring diagonals make a candidate, whose words are aligned with the template's inside a band. Winnowing both
-sides alike finds every common run of five words or more.
+sides alike finds every common run of five words or more. Templates of up to SHORT words are looked up by all their pairs
+of neighbouring words instead: with words replaced or left out as COVERAGE allows, one pair at least is still there.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from . import words as W
 
-K, WINDOW, BAND, COVERAGE = 3, 3, 12, 0.7
+K, WINDOW, BAND, COVERAGE, SHORT = 3, 3, 12, 0.7, 24
 
 #: Public license texts and notices.
 TEMPLATES = {
@@ -57,12 +58,12 @@ def _clean(data: np.ndarray) -> np.ndarray:
     return np.where(_SOLID[data], data, np.uint8(0x20))
 
 
-def _shingles(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(hashes: np.ndarray, rows: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hash at each word that begins one inside its row, and those words' places."""
-    if len(hashes) < K:
+    if len(hashes) < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = sum(W.mix(hashes[i : len(hashes) - K + 1 + i] + np.uint64(2 * i + 1)) * np.uint64(2 * i + 0x9E3779B9) for i in range(K))
-    at = np.flatnonzero(rows[: len(total)] == rows[K - 1 :])
+    total = sum(W.mix(hashes[i : len(hashes) - k + 1 + i] + np.uint64(2 * i + 1)) * np.uint64(2 * i + 0x9E3779B9) for i in range(k))
+    at = np.flatnonzero(rows[: len(total)] == rows[k - 1 :])
     return W.mix(total[at]), at
 
 
@@ -86,24 +87,26 @@ def winnow(shingles: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Template words, and fingerprint -> (template, place)."""
+    """Template words, fingerprint -> (template, place), and the same for the word pairs of short templates."""
 
     names: list[str]
     words: list[list[int]]
     prints: np.ndarray
     where: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    pairs: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
 
 
 def build(templates: dict[str, str]) -> Index:
-    where, words = defaultdict(list), []
+    where, pairs, words = defaultdict(list), defaultdict(list), []
     for t, text in enumerate(templates.values()):
         data = _clean(np.frombuffer(text.encode(), np.uint8))
         hashes, rows, _, _ = W.words(data, np.array([0, len(data)]))
-        shingles, at = _shingles(hashes, rows)
-        for i in winnow(shingles, rows[at]).tolist():
-            where[int(shingles[i])].append((t, int(at[i])))
+        short = len(hashes) <= SHORT
+        shingles, at = _shingles(hashes, rows, 2 if short else K)
+        for i in range(len(at)) if short else winnow(shingles, rows[at]).tolist():
+            (pairs if short else where)[int(shingles[i])].append((t, int(at[i])))
         words.append(hashes.tolist())
-    return Index(list(templates), words, np.array(sorted(where), dtype=np.uint64), dict(where))
+    return Index(list(templates), words, np.array(sorted(where), dtype=np.uint64), dict(where), dict(pairs))
 
 
 def band_of(n_words: int) -> int:
@@ -139,11 +142,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
     Overlapping finds of one template keep the best, the earlier of equals; different templates may overlap. Null and
     wordless texts give none, as does an empty table. Repeated rows give repeated results; null ids come back null. Other columns are
-    ignored. A template of under three words is never found.
+    ignored. A template of one word is never found.
     """
     index = build(TEMPLATES if templates is None else templates)
     maybe = np.zeros(1 << 20, dtype=bool)
     maybe[(index.prints >> np.uint64(44)).astype(np.int64)] = True
+    pairs = np.array(sorted(index.pairs), dtype=np.uint64)
+    maybe_pair = np.zeros(1 << 20, dtype=bool)
+    maybe_pair[(pairs >> np.uint64(44)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +158,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 shingles, at = _shingles(hashes, rows)
                 fits = np.flatnonzero(maybe[(shingles >> np.uint64(44)).astype(np.int64)])
                 fits = fits[np.isin(shingles[fits], index.prints)]
-                if not len(fits):
+                two, at_two = _shingles(hashes, rows, 2)
+                near = np.flatnonzero(maybe_pair[(two >> np.uint64(44)).astype(np.int64)])
+                near = near[np.isin(two[near], pairs)]
+                if not len(fits) and not len(near):
                     continue
                 # Only rows with a hit are winnowed.
                 hit_rows = np.unique(rows[at[fits]])
@@ -164,6 +173,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                     r = int(rows[at[p]])
                     for t, place in index.where[int(shingles[p])]:
                         found[r, t].append(int(at[p]) - int(begins[r]) - place)
+                for p in near.tolist():
+                    r = int(rows[at_two[p]])
+                    for t, place in index.pairs[int(two[p])]:
+                        found[r, t].append(int(at_two[p]) - int(begins[r]) - place)
                 out = []
                 for (r, t), shifts in sorted(found.items()):
                     text, words, hits = hashes[begins[r] : begins[r + 1]], index.words[t], []

@@ -346,6 +346,16 @@ def test_isc_is_whole(spark):
     assert (r.license, r.coverage, r.first_byte) == ("ISC", 1.0, 0) and text[: r.end_byte].endswith("THIS SOFTWARE")
 
 
+def test_changed_notices_are_found(spark):
+    rows = []
+    for name, text in license_scan.TEMPLATES.items():
+        words = text.split()
+        for i in range(len(words)) if name.endswith("-notice") else ():
+            rows.append((len(rows), "Some words. " + " ".join([*words[:i], "changed", *words[i + 1 :]]) + " And an end.", name))
+    got = {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert all((i, name) in got for i, _, name in rows)
+
+
 def test_license_scan(spark, edge, empty):
     mit = license_scan.TEMPLATES["MIT"]
     broken = " ".join(w for i, w in enumerate(mit.split()) if i % 17)
