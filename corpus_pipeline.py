@@ -12,9 +12,8 @@ from siftwright.llm.store import written
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents in which no language is found (no text, or no letter) go; the others get the found language."""
     langs, table = language_mix.fit(docs.where(~language_mix.held_out()))
-    found = language_mix.predict(docs, langs, table, keep=tuple(docs.columns), with_text=True)
-    kept = found.where("lang_pred <> 'und'")
-    return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    found = language_mix.predict(docs, langs, table, keep=tuple(docs.columns)).where("lang_pred <> 'und'")
+    return found.select(*((F.col("lang_pred") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
