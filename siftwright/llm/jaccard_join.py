@@ -17,14 +17,21 @@ it lies in the other prefix too.
 Sets of up to three shingles can only be linked with equal sets. The frequent class may be any set of shingles
 without changing the result; it only decides how many candidates arise.
 
-Equal sets are collapsed first (a document class is one node of the graph). Candidates are first taken between a
-document and the smallest document of its index entries; entries whose documents then fall in one component are
-done, and only documents of different components in one entry are compared further.
+Equal sets are collapsed first (a class of equal sets is one node of the graph). Candidates are first taken between a
+node and the smallest node of its index entries; entries whose nodes then fall in one component are done, and only nodes
+of different components in one entry are compared further.
+
+Hot entries. An entry of more than HOT nodes is not compared by pairs. The nodes of all such entries are indexed again
+by whole sets, rare shingles first as counted among them, and by sizes: a linked pair of sizes n, m has I >= 4 (n + m) / 9,
+so the first common shingle is at a place p of the one with 9 p <= 5 n - 4 m, and at a place q of the other with
+9 q <= 5 m - 4 n. Each shingle is entered once for every cell of partner sizes that its place allows. Sets that share a
+large core but are not linked differ in more shingles than that, so their core is entered for no partner they have.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +46,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles of the frequent class at most (1 MB broadcast), occurrences that make one frequent, and what a task reports at most.
 FREQUENT_MOST, FREQUENT_FROM, TASK_MOST = 1 << 17, 8, 1 << 15
+#: An index entry of more nodes is split by the sizes of partners; ids that a filter holds, at most (8 MB), beyond which they are joined.
+HOT, FILTER_IDS = 32, 1 << 22
 BITS = 512
 _FIELDS = [f"b{i}" for i in range(BITS // 64)]
 _PREFIX_SCHEMA = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"{b} long" for b in _FIELDS) + ", bits array<long>, sigs array<long>"
@@ -131,11 +140,7 @@ def _prefixes(frequent: np.ndarray):
                 ends = np.cumsum(sizes)
                 sigs = [signatures(u, often[e - len(u) : e]) for u, e in zip(sets, ends, strict=True)]
                 bits = np.stack([_bitmap(u) for u in sets])
-                # Two order-free digests of a set: sums of its differently mixed shingles.
-                run = np.zeros((2, len(every) + 1), np.uint64)
-                np.cumsum(W.mix(every + np.uint64(11)), out=run[0, 1:])
-                np.cumsum(W.mix(every ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=run[1, 1:])
-                digests = (run[:, ends] - run[:, ends - sizes]).view(np.int64)
+                digests = _digests(every, sizes)
                 wide = [_wide_bitmap(u) for u in sets]
                 lists = []
                 for x in (wide, sigs):
@@ -149,60 +154,126 @@ def _prefixes(frequent: np.ndarray):
     return run
 
 
-#: Bits of the filter on document ids: 1 MB, whatever the input; false hits only add sets that no pair asks for.
-ID_BITS = 1 << 23
-
-
-def _id_places(ids: np.ndarray) -> np.ndarray:
+def _id_places(ids: np.ndarray, bits: int) -> np.ndarray:
     h = W.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x51ED))
-    return np.stack([h >> np.uint64(41), (h >> np.uint64(18)) & np.uint64(ID_BITS - 1)]).astype(np.int64)
+    return np.stack([h >> np.uint64(64 - (bits.bit_length() - 1)), h & np.uint64(bits - 1)]).astype(np.int64)
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size on long ids."""
+def _id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A filter of n long ids, 16 to 32 bits an id; false hits only add sets that no pair asks for."""
+    bits = max(1 << 16, 1 << (16 * n - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.zeros(ID_BITS, dtype=bool)
+        mask = np.zeros(bits, dtype=bool)
         for b in batches:
-            mask[_id_places(b.column(0).to_numpy(zero_copy_only=False))] = True
+            mask[_id_places(b.column(0).to_numpy(zero_copy_only=False), bits)] = True
         yield pa.RecordBatch.from_pydict({"mask": [np.packbits(mask).tobytes()]})
 
-    parts = ids.coalesce(8).mapInArrow(run, "mask binary").toLocalIterator()
-    mask = np.zeros(ID_BITS // 8, dtype=np.uint8)
-    for row in parts:
+    mask = np.zeros(bits // 8, dtype=np.uint8)
+    for row in ids.coalesce(8).mapInArrow(run, "mask binary").toLocalIterator():
         mask |= np.frombuffer(row["mask"], np.uint8)
     return mask
 
 
-def _whole_sets(mask: np.ndarray):
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (and a few more): through a filter of checked size, or else by a join."""
+    n = ids.count()
+    if n > FILTER_IDS:
+        return docs.join(ids.distinct(), "doc_id", "left_semi")
+    mask = _id_filter(ids, n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(mask).astype(bool)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(bits[_id_places(ids)].all(axis=0)))
-            for part, sets in _sets(batch):
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "h"])
+            yield batch.filter(pa.array(bits[_id_places(ids, len(bits))].all(axis=0)))
 
-    return run
+    return docs.where("doc_id is not null").mapInArrow(run, docs.schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose whole sets overlap enough, written. The sets are made again for the documents of the
-    pairs alone: that costs a scan and saves keeping every set on disk."""
-    spark = docs.sparkSession
-    pairs = written(pairs, "pairs")
-    mask = _id_filter(pairs.select("a").union(pairs.select("b")))
-    sets = written(docs.where("doc_id is not null").mapInArrow(_whole_sets(mask), "id long, h array<long>"), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("h").alias("ha"))
-    right = sets.select(F.col("id").alias("b"), F.col("h").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    links = written(joined.where(100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "links")
-    drop(pairs)
-    drop(sets)
-    release(spark)
-    return links
+def _digests(every: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two order-free digests of each set (the sets lie one after another): sums of its differently mixed shingles."""
+    ends = np.cumsum(sizes)
+    run = np.zeros((2, len(every) + 1), np.uint64)
+    np.cumsum(W.mix(every + np.uint64(11)), out=run[0, 1:])
+    np.cumsum(W.mix(every ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=run[1, 1:])
+    return (run[:, ends] - run[:, ends - sizes]).view(np.int64)
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, sets in _sets(batch):
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            d1, d2 = _digests(every, sizes)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(offsets, pa.array(every.view(np.int64)))], names=["doc_id", "d1", "d2", "h"])
+
+
+@dataclass
+class _Corpus:
+    """The texts, the class of each node (node, doc_id, d1, d2 of one of its rows), and whether ids repeat."""
+
+    docs: DataFrame
+    nodes: DataFrame
+    repeated: bool
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """wanted (node) -> node, h: whole sets, made again for these nodes alone and written. That costs a scan and saves
+        keeping every set on disk."""
+        keys = written(self.nodes.select("node", "doc_id", "d1", "d2").join(wanted, "node", "left_semi"), "wanted")
+        made = _with_ids(self.docs, keys.select("doc_id")).mapInArrow(_whole_sets, "doc_id long, d1 long, d2 long, h array<long>")
+        if self.repeated:  # rows that repeat id and text have one set
+            made = made.dropDuplicates(["doc_id", "d1", "d2"])
+        out = written(made.join(keys, ["doc_id", "d1", "d2"]).select("node", "h"), "sets")
+        drop(keys)
+        return out
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose whole sets overlap enough, written."""
+        pairs = written(pairs, "pairs")
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        left = sets.select(F.col("node").alias("a"), F.col("h").alias("ha"))
+        right = sets.select(F.col("node").alias("b"), F.col("h").alias("hb"))
+        both = F.size(F.array_intersect("ha", "hb"))
+        joined = pairs.join(left, "a").join(right, "b")
+        links = written(joined.where(100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "links")
+        drop(pairs)
+        drop(sets)
+        release(self.docs.sparkSession)
+        return links
+
+
+def _cell(m: str) -> str:
+    """SQL of the cell of a size: sizes below 64 have one each, larger ones go by their six leading bits."""
+    high = f"(length(bin({m})) - 6)"
+    return f"if({m} < 64, int({m}), int({high} * 32 + shiftright({m}, {high})))"
+
+
+def _by_sizes(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """sets (node, h), comps (node, comp) -> a, b: pairs of different components that the index by whole sets and sizes admits."""
+    tokens = sets.select("node", F.size("h").alias("n"), F.explode("h").alias("t"))
+    often = written(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    # Shingles that one set alone has come first and are never entered: p counts them.
+    ranked = tokens.join(often, "t").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("o"))
+    first = ranked.select("node", "n", (F.col("n") - F.size("o")).alias("alone"), "o").where("5 * alone <= n")
+    placed = first.select("node", "n", "alone", F.posexplode(F.expr("slice(o, 1, int(n / 5) - alone + 1)")).alias("i", "s"))
+    placed = placed.selectExpr("node", "bigint(n) as n", "s.t as t", "bigint(least((5 * n - 9 * (alone + i)) / 4, 5 * n / 4)) as most", "bigint(ceil(4 * n / 5)) as least_").where("most >= least_")
+    cells = placed.selectExpr("node", "t", f"{_cell('n')} as own", f"explode(sequence({_cell('least_')}, {_cell('most')})) as other")
+    entries = cells.join(comps, "node").selectExpr("node", "comp", "t", "own", "least(own, other) as lo", "greatest(own, other) as hi")
+    entries = written(entries, "entries")
+    low, high = entries.where("own = lo"), entries.where("own = hi")
+    key = ["t", "lo", "hi"]
+    # Most entries hold one component alone: only the others are joined.
+    met = low.groupBy(*key).agg(F.min("comp").alias("x0"), F.max("comp").alias("x1")).join(high.groupBy(*key).agg(F.min("comp").alias("y0"), F.max("comp").alias("y1")), key)
+    met = written(met.where("x0 <> x1 or y0 <> y1 or x0 <> y0").select(*key), "met")
+    x = low.join(met, key, "left_semi").select(*key, F.col("node").alias("a"), F.col("comp").alias("ca"))
+    y = high.join(met, key, "left_semi").select(*key, F.col("node").alias("b"), F.col("comp").alias("cb"))
+    pairs = x.join(y, key).where("ca <> cb and (lo < hi or a < b)").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
+    out = written(pairs, "pairs")
+    for t in (often, entries, met):
+        drop(t)
+    return out
 
 
 def _differ(x: str, y: str):
@@ -232,47 +303,64 @@ def _may_link_wide(x: str, y: str):
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, more) -> doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
-    A null or blank text has the empty set and is linked with nothing; its component is its own id. doc_id is taken
-    to be unique; rows that repeat one are each placed by their own text. Rows whose doc_id is null come back with
-    the size of their set and a null component. Equal texts, and texts with equal sets, always share a component.
-    Other columns are ignored. An empty table gives an empty result.
+    A null or blank text has the empty set and is linked with nothing; its component is its own id. Rows that repeat a
+    doc_id are each placed by their own text, and a link of one of them is no link of the other. Rows whose doc_id is
+    null come back with the size of their set and a null component. Equal texts, and texts with equal sets, always
+    share a component. A very long text is one set, held whole in one task. Sets are compared by 64-bit hashes of their
+    shingles: two different shingles of one pair of documents agree with a chance of about sizes / 2^64. Other columns
+    are ignored. An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select("doc_id", "text")
     frequent = frequent_class(docs)
-    prefixes = written(docs.mapInArrow(_prefixes(frequent), _PREFIX_SCHEMA), "prefixes")
+    # The number of a row of the written table names it from here on, since ids may repeat.
+    prefixes = written(docs.mapInArrow(_prefixes(frequent), _PREFIX_SCHEMA).withColumn("row", F.monotonically_increasing_id()), "prefixes")
     release(spark)
     full = prefixes.where("n > 0 and doc_id is not null")
-    classes = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    kept = full.join(classes, [full.d1 == classes.d1, full.d2 == classes.d2, full.doc_id == classes.rep], "left_semi")
-    indexed = written(kept.where("n >= 4").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", *_FIELDS, "bits", "sigs"), "indexed")
+    rows = full.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    classes = written(full.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
+    kept = full.where("n >= 4").join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    indexed = written(kept.select(F.col("row").alias("node"), "doc_id", "d1", "d2", "n", *_FIELDS, "bits", "sigs"), "indexed")
     release(spark)
-    entries = indexed.select("id", F.explode("sigs").alias("sig"))
-    shared = written(entries.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").select("sig", "hub"), "shared")
+    entries = indexed.select("node", F.explode("sigs").alias("sig"))
+    shared = written(entries.groupBy("sig").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1"), "shared")
     release(spark)
-    alive = written(entries.join(shared, "sig").select("sig", "id", "hub"), "alive")
+    alive = written(entries.join(shared, "sig").select("sig", "node", "hub", (F.col("c") > HOT).alias("hot")), "alive")
     drop(shared)
     release(spark)
-    nodes = written(indexed.select("id", "n", *_FIELDS, "bits").join(alive.select("id").distinct(), "id", "left_semi"), "nodes")
+    nodes = written(indexed.drop("sigs").join(alive.select("node").distinct(), "node", "left_semi"), "nodes")
     drop(indexed)
-    def bounded(pairs: DataFrame) -> DataFrame:
-        x, y = nodes.select(*(F.col(c).alias(f"x_{c}") for c in nodes.columns)), nodes.select(*(F.col(c).alias(f"y_{c}") for c in nodes.columns))
-        return pairs.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).where(_may_link("x_", "y_") & _may_link_wide("x_", "y_")).select(*pairs.columns)
+    corpus = _Corpus(docs, nodes, rows["n"] > rows["ids"])
 
-    star = alive.where("id <> hub").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("b"))
-    links = verified(bounded(star), docs)
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the bounds admit, with `far`, how much their bitmaps differ."""
+        fields = ["n", *_FIELDS, "bits"]
+        x, y = (nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{p}{c}") for c in fields)) for k, p in (("a", "x_"), ("b", "y_")))
+        far = (_differ("x_", "y_") / (F.col("x_n") + F.col("y_n"))).alias("far")
+        return pairs.join(x, "a").join(y, "b").where(_may_link("x_", "y_") & _may_link_wide("x_", "y_")).select("a", "b", far)
+
+    star = alive.where("node <> hub").groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b"))
+    links = corpus.verified(bounded(star).select("a", "b"))
     comps = components(links)
     release(spark)
-    # What the stars leave: entries that still hold documents of several components.
-    labelled = nodes.join(comps, nodes.id == comps.node, "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", *_FIELDS)
-    placed = alive.select("sig", "id").join(labelled.select("id", "comp"), "id")
-    open_ = written(placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig"), "open")
-    rest = written(alive.select("sig", "id").join(open_, "sig", "left_semi").join(labelled, "id"), "rest")
+    # What the stars leave: entries that still hold nodes of several components.
+    labelled = nodes.select("node", "n", *_FIELDS).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = alive.select("sig", "node", "hot").join(labelled.select("node", "comp"), "node")
+    open_ = written(placed.groupBy("sig", "hot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "hot"), "open")
+    rest = written(alive.select("sig", "node").join(open_.where("not hot"), "sig", "left_semi").join(labelled, "node"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    near = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.", "y."))
-    near = written(bounded(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), (_differ("x.", "y.") / (F.col("x.n") + F.col("y.n"))).alias("far")).distinct()), "near")
+    few = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.", "y."))
+    pairs = few.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    hot = written(alive.where("hot").join(open_.where("hot"), "sig", "left_semi").select("node").distinct(), "hot")
+    split = []
+    if not hot.isEmpty():
+        sets = corpus.sets(hot)
+        split = [_by_sizes(sets, labelled.select("node", "comp"))]
+        drop(sets)
+        pairs = pairs.union(split[0])
+    near = written(bounded(pairs.distinct()), "near")
     release(spark)
-    for t in (alive, open_, rest):
+    for t in (alive, open_, rest, hot, *split):
         drop(t)
     # One link joins two components, so the nearest pair of each two goes first; in the last round all that are left.
     for last in (False, False, True):
@@ -287,14 +375,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if tried.isEmpty():
             drop(tried)
             break
-        more = verified(tried, docs)
+        more = corpus.verified(tried)
         near_left = written(near.join(tried, ["a", "b"], "left_anti"), "near")
         links_all = written(links.union(more), "links")
         for t in (near, tried, links, more, comps):
             drop(t)
         near, links = near_left, links_all
         comps = components(links)
-    class_comps = written(classes.join(comps, classes.rep == comps.node, "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component_id")), "classes")
+    # The smallest id of each component; a class without a link is its own.
+    linked = classes.join(comps, "node")
+    lows = linked.groupBy("comp").agg(F.min("least").alias("low"))
+    placed = linked.join(lows, "comp").select("node", "low")
+    class_comps = written(classes.join(placed, "node", "left").select("d1", "d2", F.coalesce("low", "least").alias("component_id")), "classes")
     for t in (nodes, near, links, comps, classes):
         drop(t)
     found = full.select("doc_id", "n", "d1", "d2").join(class_comps, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

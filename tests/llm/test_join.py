@@ -1,0 +1,65 @@
+import random
+
+from pyspark.sql import functions as F
+from test_llm import brute_components
+
+from siftwright.llm import jaccard_join as J
+
+SCHEMA = "doc_id long, text string"
+CORE = [f"c{i}" for i in range(90)]
+
+
+def components(spark, rows):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_repeated_ids_lose_no_link(spark):
+    a = [f"v{i}" for i in range(104)]
+    b = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (2, " ".join(a[:-1])), (3, " ".join(b[:-1])), (4, " ".join(b[1:-2]))]
+    got = J.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 100, 1), (1, 100, 1), (1, 100, 1), (2, 99, 1), (3, 99, 1), (4, 97, 1)]
+
+
+def test_ids_apart_where_texts_are(spark):
+    """A repeated id links nothing by itself."""
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (3, "u v w x y z"), (5, "g h i j k l")]
+    assert {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: 1, 2: 1, 3: 1, 5: 5}
+
+
+def hot_rows(seed):
+    """Many texts that share most of their shingles: some linked, most just not."""
+    rng = random.Random(seed)
+    rows = [(i, " ".join(CORE + [f"o{i}x{j}" for j in range(14)])) for i in range(60)]
+    rows += [(1000 + i, " ".join(CORE[: 80 + i % 11] + [f"o{i % 60}x{j}" for j in range(14 - i % 3)])) for i in range(80)]
+    for i in range(120):
+        own = list(CORE)
+        for j in rng.sample(range(len(own)), rng.choice([1, 1, 2, 3, 4])):
+            own[j] = f"r{i}y{j}"
+        rows.append((2000 + i, " ".join(own[: rng.randrange(60, 91)] * rng.choice([1, 1, 2]) + [f"z{k}" for k in range(rng.choice([0, 5, 40]))])))
+    return rows
+
+
+def test_hot_entries_equal_brute_force(spark):
+    for seed in (1, 2):
+        rows = hot_rows(seed)
+        assert components(spark, rows) == brute_components(rows)
+
+
+def test_the_join_replaces_a_filter_that_is_too_large(spark, monkeypatch):
+    monkeypatch.setattr(J, "FILTER_IDS", 0)
+    monkeypatch.setattr(J, "HOT", 3)
+    rows = hot_rows(3)[::3]
+    assert components(spark, rows) == brute_components(rows)
+
+
+def test_cells_follow_the_sizes(spark):
+    cells = [r.c for r in spark.range(1, 5000).selectExpr("id", f"{J._cell('id')} as c").orderBy("id").collect()]
+    assert cells == sorted(cells) and set(cells) == set(range(1, max(cells) + 1)) and cells[:70] == [*range(1, 64), 64, 64, 65, 65, 66, 66, 67]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six") for i in range(3)], SCHEMA)
+    for name in ("node", "row", "comp", "n", "d1", "sig", "component_id"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    assert {r.component_id for r in J.jaccard_components(docs).collect()} == {0}
