@@ -1,8 +1,8 @@
 """Tables between the jobs of an operator, in the shared folder of the cluster.
 
 Lineage is cut with written Parquet tables under ``spark.checkpoint.dir``, so a lost executor costs a re-read
-and never a lost block. The setting is read from the session; only where it is unset (as in tests) is a folder
-of this process set.
+and never a lost block. The setting is read from the session; only where it is unset and the master is local (as in
+tests) is a folder of this process set.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session names none."""
+    """The folder that all executors share; set here only where the session names none and all runs on this machine."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and jsc.getCheckpointDir().isDefined():
         found = jsc.getCheckpointDir().get()
     if not found:
+        if not jsc.isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siftwright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -3,7 +3,8 @@
 Containers are RIFF/WAVE files of 8 kHz mono audio in one of three codings, all written and read here: A-law (6),
 mu-law (7) and IMA ADPCM (17). Mu-law and A-law expand by lookup tables; ADPCM blocks are independent of one
 another, so one numpy step decodes the same sample of every block of a whole batch. The decoded audio is resampled
-to 16 kHz and stored as 16-bit PCM.
+to 16 kHz by a half-band filter and stored as 16-bit PCM. `encode` makes a column of files, `read` takes such a column
+(from wherever it is stored) and gives the PCM column and its features.
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words as W
+from .store import written
 
 A_LAW, MU_LAW, ADPCM, PCM = 6, 7, 17, 1
 CODINGS = (MU_LAW, A_LAW, ADPCM)
+NAMES = {MU_LAW: "mu-law", A_LAW: "a-law", ADPCM: "adpcm", PCM: "pcm"}
 RATE_IN, RATE_OUT, BLOCK = 8000, 16000, 64
+#: Samples on each side from which a new one between two is made, and the bits of the filter's fixed point.
+REACH, POINT = 8, 14
 #: Fixed values of the IMA ADPCM format: how the step index moves by the low three bits of a code.
 INDEX_MOVES = (-1, -1, -1, -1, 2, 4, 6, 8)
 #: Fixed values of the IMA ADPCM format: its step sizes.
@@ -114,60 +119,96 @@ def decode(codings: list[int], payloads: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def filter_taps() -> np.ndarray:
+    """Weights of the nearest, second nearest, ... samples on either side of a new one: a sinc under a Hann window, in
+    fixed point, whose sum over both sides is exactly one."""
+    at = np.arange(REACH) + 0.5
+    taps = np.sinc(at) * (0.5 + 0.5 * np.cos(np.pi * at / (REACH + 0.5)))
+    taps = np.round(taps / taps.sum() * (1 << (POINT - 1))).astype(np.int32)
+    taps[0] += (1 << (POINT - 1)) - taps.sum()
+    return taps
+
+
+_TAPS = filter_taps()
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
-    """8 kHz -> 16 kHz by linear interpolation; the last sample is held."""
-    out = np.empty(2 * len(pcm), dtype="<i2")
-    out[::2] = pcm
-    if len(pcm):
-        out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-        out[-1] = pcm[-1]
+    """8 kHz -> 16 kHz: given samples stay, and a half-band filter makes one after each; beyond the ends they are held."""
+    n = len(pcm)
+    out = np.empty(2 * n, dtype="<i2")
+    if n:
+        x = np.pad(pcm.astype(np.int32), (REACH, REACH + 1), mode="edge")
+        total = np.full(n, 1 << (POINT - 1), dtype=np.int32)
+        for j, tap in enumerate(_TAPS):
+            total += tap * (x[REACH - j : REACH - j + n] + x[REACH + 1 + j : REACH + 1 + j + n])
+        out[::2] = pcm
+        out[1::2] = np.clip(total >> POINT, -32768, 32767)
     return out
 
 
-def store(texts: DataFrame, with_media: bool = False) -> DataFrame:
-    """texts (doc_id, text, more) -> a stored telephone recording of each text's bytes, and what reading it back gives.
+def encode(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, text, more) -> doc_id, n_bytes, media: a telephone recording of each text's bytes.
 
     The UTF-8 bytes, padded with 0 to a positive multiple of 64, are the coded samples of a RIFF/WAVE file; the
-    payload's crc32 modulo 3 picks the coding, so that equal texts give equal files. The file is parsed again, its
-    payload digested, its samples expanded and resampled to 16 kHz PCM. feature: coding, seconds, peak, root mean
-    square and zero crossings of that PCM, and the first 16 hex digits of its sha256. With with_media the files
-    (media) and the PCM files (pcm) come along. Null counts as the empty text; rows come back one for one, repeated
-    and null ids included; other columns are ignored.
+    payload's crc32 modulo 3 picks the coding, so that equal texts give equal files. Null counts as the empty text; rows
+    come back one for one, repeated and null ids included; other columns, whatever their names, are ignored.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * with_media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = {MU_LAW: "mu-law", A_LAW: "a-law", ADPCM: "adpcm"}
         for batch in batches:
             for part, data, offsets in W.chunks(batch):
-                whole = data.tobytes()
-                sizes = np.diff(offsets)
-                medias = []
+                whole, sizes, medias = data.tobytes(), np.diff(offsets), []
                 for a, n in zip(offsets[:-1], sizes, strict=True):
                     raw = whole[a : a + n]
                     raw += b"\0" * (max(BLOCK, -(-n // BLOCK) * BLOCK) - n)
                     medias.append(wrap(raw, CODINGS[zlib.crc32(raw) % len(CODINGS)]))
-                read = [unwrap(m) for m in medias]
-                payloads = [p for _, _, p in read]
-                rows = {k: [] for k in ("feature", "pcm")}
-                for (coding, _, _), pcm in zip(read, decode([c for c, _, _ in read], payloads), strict=True):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(medias, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def read(stored: DataFrame, with_media: bool = False) -> DataFrame:
+    """stored (doc_id, n_bytes, media, more) -> what reading each file back gives; a media that is no such file is an error.
+
+    The file is parsed, its payload digested, its samples expanded and resampled to 16 kHz PCM. feature: coding, seconds,
+    peak, root mean square and zero crossings of that PCM, and the first 16 hex digits of its sha256. With with_media the
+    files (media) and the PCM files (pcm) come along. Files are decoded about a megabyte at a time, a longer one alone.
+    """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * with_media
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in W.chunks(batch, "media"):
+                whole = data.tobytes()
+                medias = [whole[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                files = [unwrap(m) for m in medias]
+                payloads, features, pcms = [p for _, _, p in files], [], []
+                for (coding, _, _), pcm in zip(files, decode([c for c, _, _ in files], payloads), strict=True):
                     out = resample(pcm)
                     wide = out.astype(np.float32)
                     peak, loud = int(np.abs(out.astype(np.int32)).max()), int(round(float(np.sqrt(np.dot(wide, wide) / len(wide)))))
                     crossings = int(np.count_nonzero(np.signbit(wide[1:]) != np.signbit(wide[:-1])))
-                    rows["feature"].append(f"{names[coding]};s={len(out) / RATE_OUT:.4f};peak={peak};rms={loud};zc={crossings};pcm={hashlib.sha256(out.tobytes()).hexdigest()[:16]}")
+                    features.append(f"{NAMES[coding]};s={len(out) / RATE_OUT:.4f};peak={peak};rms={loud};zc={crossings};pcm={hashlib.sha256(out.tobytes()).hexdigest()[:16]}")
                     if with_media:
-                        rows["pcm"].append(wrap(out.tobytes(), PCM, RATE_OUT))
+                        pcms.append(wrap(out.tobytes(), PCM, RATE_OUT))
                 columns = {
                     "doc_id": part.column("doc_id"),
-                    "n_bytes": pa.array(sizes),
+                    "n_bytes": part.column("n_bytes"),
                     "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
                     "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
                     "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()),
                     "media_bytes": pa.array([len(m) for m in medias], pa.int64()),
                     "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in medias]),
-                    "feature": pa.array(rows["feature"]),
-                } | ({"media": pa.array(medias, pa.binary()), "pcm": pa.array(rows["pcm"], pa.binary())} if with_media else {})
+                    "feature": pa.array(features),
+                } | ({"media": pa.array(medias, pa.binary()), "pcm": pa.array(pcms, pa.binary())} if with_media else {})
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return texts.select("doc_id", "text").mapInArrow(run, schema)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def store(texts: DataFrame, with_media: bool = False) -> DataFrame:
+    """The recordings of encode(), stored as a Parquet table in the shared folder, and what read() gives of that table.
+
+    Null, blank, very long and repeated texts and null ids have a recording like any other; an empty table gives none.
+    """
+    return read(written(encode(texts), "media"), with_media)

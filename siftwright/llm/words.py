@@ -45,16 +45,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with the UTF-8 bytes of `column` and each row's offsets in them; null counts as empty."""
+    """Slices of a batch with the (UTF-8) bytes of `column` and each row's offsets in them; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(column))
+    binary = pa.types.is_binary(col.type)
     if pa.types.is_large_string(col.type):
         kind = np.int64
     else:
-        col, kind = col.cast(pa.string()), np.int32
+        col, kind = col if binary else col.cast(pa.string()), np.int32
     if not len(col):
         return
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if binary else "")
     offsets = np.frombuffer(col.buffers()[1], dtype=kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2], dtype=np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
