@@ -46,8 +46,9 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles of the frequent class at most (1 MB broadcast), occurrences that make one frequent, and what a task reports at most.
 FREQUENT_MOST, FREQUENT_FROM, TASK_MOST = 1 << 17, 8, 1 << 15
-#: An index entry of more nodes is split by the sizes of partners; ids that a filter holds, at most (8 MB), beyond which they are joined.
-HOT, FILTER_IDS = 32, 1 << 22
+#: An index entry of more nodes is split by the sizes of partners (up to it, a node meets at most so many others in an entry, by bitmaps
+#: alone, which is cheaper than indexing whole sets again); ids that a filter holds, at most (8 to 16 MB), beyond which they are joined.
+HOT, FILTER_IDS = 128, 1 << 22
 BITS = 512
 _FIELDS = [f"b{i}" for i in range(BITS // 64)]
 _PREFIX_SCHEMA = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"{b} long" for b in _FIELDS) + ", bits array<long>, sigs array<long>"
