@@ -2,8 +2,11 @@
 
 Method: non-negative positive-unlabelled learning. A numpy logistic model over hashed words (each word of a text once)
 minimises  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),  with the logistic loss; when the second part would fall
-below zero the step goes against it instead, as the estimator's authors propose. Documents whose label is 0 are
-used only as unlabelled text; the class prior is the share of toxic ones among the labelled training rows.
+below zero the step goes against it instead, as the estimator's authors propose. A word enters by its lift, the log of
+how much more often confirmed texts hold it than all do, shrunk where few texts show it: no word is ruled out, and none
+that a few texts hold by chance weighs much. Documents whose label is 0 are used only as unlabelled text. The class
+prior is given, or the share of toxic ones among the labelled rows, or, where only confirmed rows are labelled, estimated
+from confirmed and unlabelled texts by the best bin of held-out scores.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ from . import words as W
 from .language_mix import held_out
 
 BUCKETS = 1 << 18
-#: About so many confirmed and so many unlabelled documents are fitted, drawn by a hash of the text; copies of a drawn text count once.
+#: About so many confirmed documents (by a hash of the id) and unlabelled ones (by a hash of the text) are fitted; copies of a drawn text count once.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 3000, 6000
-EPOCHS, RATE, BATCHES, DECAY = 120, 0.1, 8, 1e-5
+EPOCHS, RATE, BATCHES, DECAY = 30, 0.05, 8, 1e-4
+#: Texts that a word's lift is shrunk by, and the limits of a class prior.
+SHRINK, LEAST_PRIOR, MOST_PRIOR = 10.0, 0.001, 0.9
+#: Where the prior is estimated: that of the models that only rank texts, and their number.
+GUESS, FOLDS = 0.1, 4
 PREFIXES = (4, 6)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -70,26 +77,31 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def evidence(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
-    """Buckets that confirmed texts hold far more often than unlabelled ones; the model may weigh no others.
+def lifts(positive: _Rows, unlabelled: _Rows) -> np.ndarray:
+    """The log of a word's share among confirmed texts over its share among all, both with SHRINK texts added that show nothing."""
+    in_p, in_u = (np.bincount(x.at, minlength=x.width) for x in (positive, unlabelled))
+    expected = (in_p + in_u + 1) / (positive.n + unlabelled.n + 2) * positive.n
+    return np.log((in_p + SHRINK) / (expected + SHRINK))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the estimated risk: of confirmed texts as positives, and of unlabelled ones as negatives, corrected."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean()) - prior * float(np.logaddexp(0, zp).mean())
 
-    Three confirmed texts at least; half the lift, 1 / prior, of a word that only toxic texts hold (the unlabelled
-    ones hide some of those); and six standard errors above the unlabelled share. So the words that a few texts hold
-    by chance can't be learned by heart.
-    """
-    n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (positive, unlabelled))
-    share = (in_u + 1) / (n_u + 1)
-    return (in_p >= 3) & (in_p >= 0.5 / prior * share * n_p) & (in_p - share * n_p >= 6 * np.sqrt(share * (1 - np.minimum(share, 1)) * n_p))
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """How the risk rises with the scores of confirmed and of unlabelled texts; against the second part where that is below zero."""
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    if risk(zp, zu, prior)[1] >= 0:
+        return -prior / len(zp) * np.ones(len(zp)), su / len(zu)
+    return prior * sp / len(zp), -su / len(zu)
 
 
 def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic model, by Adam over shuffled batches; the same input gives the same model."""
     rng = np.random.default_rng(8)
-    use = evidence(positive, unlabelled, prior)
-    place = np.cumsum(use) - 1
-    positive, unlabelled = ([place[b[use[b]]] for b in x] for x in (positive, unlabelled))
-    w = np.zeros(int(use.sum()) + 1)
+    scale = lifts(_Rows(positive, BUCKETS), _Rows(unlabelled, BUCKETS))
+    w = np.zeros(BUCKETS + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v, t = np.zeros(len(w)), np.zeros(len(w)), 0
     for _ in range(epochs):
@@ -98,57 +110,84 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
         for ip, iu in zip(p_parts, u_parts, strict=True):
             if not len(ip) or not len(iu):
                 continue
-            xp, xu = _Rows([positive[i] for i in ip], len(w) - 1), _Rows([unlabelled[i] for i in iu], len(w) - 1)
-            zp, zu = xp.times(w[:-1], w[-1]), xu.times(w[:-1], w[-1])
-            sp, su = _sigmoid(zp), _sigmoid(zu)
-            # Logistic loss: of a positive log(1 + exp(-z)), slope s - 1; of a negative log(1 + exp(z)), slope s.
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            if negative >= 0:
-                gp, gu = prior * ((sp - 1) - sp) / len(ip), su / len(iu)
-            else:
-                gp, gu = prior * sp / len(ip), -su / len(iu)
-            g = np.append(xp.back(gp) + xu.back(gu), gp.sum() + gu.sum()) + DECAY * np.append(w[:-1], 0.0)
+            xp, xu = _Rows([positive[i] for i in ip], BUCKETS), _Rows([unlabelled[i] for i in iu], BUCKETS)
+            weights = w[:-1] * scale
+            gp, gu = slopes(xp.times(weights, w[-1]), xu.times(weights, w[-1]), prior)
+            g = np.append((xp.back(gp) + xu.back(gu)) * scale + DECAY * w[:-1], gp.sum() + gu.sum())
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[use] = w[:-1]
-    return weights, float(w[-1])
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Fit on the documents that are not held out; labels (doc_id, toxic), where any 1 of a document counts."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id", "left")
-    unit = F.xxhash64("text", F.lit(23)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    sizes = train.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p"), F.count("toxic").alias("labelled")).first()
-    n_p = sizes["p"] or 0
-    if not n_p:
-        return np.zeros(BUCKETS, np.float32), -2.0
-    prior = min(0.9, max(0.001, n_p / sizes["labelled"]))
-    confirmed = train.where((F.col("toxic") == 1) & (unit < SAMPLE_POSITIVE / n_p)).select("text", F.lit(1).alias("toxic"))
+    return (w[:-1] * scale).astype(np.float32), float(w[-1])
+
+
+def best_bin(zp: np.ndarray, zu: np.ndarray, slack: float = 0.1) -> float:
+    """The share of positives among the texts of scores zu, given scores zp of positives that the model has not seen.
+
+    Above any threshold, the share of unlabelled texts over the share of positives is that of positives at least; the
+    threshold is the one whose ratio has the least upper bound (Hoeffding, for both shares, at a chance of `slack`).
+    """
+    cuts = np.unique(zp)
+    q_p = 1 - np.searchsorted(np.sort(zp), cuts) / len(zp)
+    q_u = 1 - np.searchsorted(np.sort(zu), cuts) / len(zu)
+    wide = np.sqrt(np.log(4 / slack) / 2) * (1 / np.sqrt(len(zu)) + 1 / np.sqrt(len(zp)))
+    at = np.argmin((q_u + wide) / q_p)
+    return float(q_u[at] / q_p[at])
+
+
+def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> float:
+    """The class prior from confirmed and unlabelled texts alone: models of FOLDS parts of them score the part each has
+    not seen, and the estimates are averaged."""
+    found = []
+    for k in range(FOLDS):
+        seen, unseen = ([[b for i, b in enumerate(x) if (i % FOLDS == k) == new] for x in (positive, unlabelled)] for new in (False, True))
+        if all(seen) and all(unseen):
+            weights, bias = train_nnpu(*seen, GUESS)
+            found.append(best_bin(*(_Rows(x, BUCKETS).times(weights, bias) for x in unseen)))
+    return float(np.mean(found)) if found else GUESS
+
+
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tuple[np.ndarray, float]:
+    """Fit on the documents that are not held out; labels (doc_id, toxic), where any 1 of a document counts.
+
+    Counts come from labels alone, so documents are not joined with all labels: only the drawn ids are sent to them.
+    """
+    none = np.zeros(BUCKETS, np.float32), -2.0
+    marks = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    seen = marks.agg(F.count("*").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("p")).first()
+    train = docs.select("doc_id", "text").where(~held_out())
+    n = train.count()
+    if not seen["p"] or not n:
+        return none
+    part = lambda c: F.xxhash64(c, F.lit(23)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    # About SAMPLE_POSITIVE ids, whatever the number of labels: small enough to broadcast.
+    drawn = marks.where((F.col("toxic") == 1) & (part("doc_id") < SAMPLE_POSITIVE / seen["p"])).select("doc_id", F.lit(1).alias("hit"))
     # The estimator takes unlabelled text from the whole population, so confirmed documents may be drawn here too.
-    population = train.where(unit < SAMPLE_UNLABELLED / sizes["n"]).select("text", F.lit(0).alias("toxic"))
-    drawn = confirmed.union(population).dropDuplicates(["text", "toxic"]).mapInArrow(_bags, "toxic int, bag array<int>").toArrow()
-    bags = [np.asarray(b.values, dtype=np.int64) for b in drawn["bag"]]
-    toxic = drawn["toxic"].to_pylist()
+    uses = F.array_compact(F.array(F.when(F.col("hit") == 1, 1), F.when(part("text") < SAMPLE_UNLABELLED / n, 0)))
+    used = train.where("text is not null").join(F.broadcast(drawn), "doc_id", "left").select("text", F.explode(uses).alias("toxic")).distinct()
+    found = used.mapInArrow(_bags, "toxic int, bag array<int>").toArrow()
+    bags = [np.asarray(b.values, dtype=np.int64) for b in found["bag"]]
+    toxic = found["toxic"].to_pylist()
     order = sorted(range(len(bags)), key=lambda i: bags[i].tobytes())  # the same model however the rows arrive
-    bags, toxic = [bags[i] for i in order], [toxic[i] for i in order]
-    positive = [b for b, t in zip(bags, toxic, strict=True) if t == 1]
-    unlabelled = [b for b, t in zip(bags, toxic, strict=True) if t == 0]
+    positive, unlabelled = ([bags[i] for i in order if toxic[i] == t] for t in (1, 0))
     if not positive or not unlabelled:
-        return np.zeros(BUCKETS, np.float32), -2.0
-    return train_nnpu(positive, unlabelled, prior)
+        return none
+    if prior is None:
+        prior = seen["p"] / seen["labelled"] if seen["p"] < seen["labelled"] else estimate_prior(positive, unlabelled)
+    return train_nnpu(positive, unlabelled, min(MOST_PRIOR, max(LEAST_PRIOR, prior)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """docs (doc_id, text, more), labels (doc_id, toxic, more) -> doc_id, held_out, score, predicted.
 
+    prior: the share of toxic documents; if none is given, it is that of the labelled rows, or estimated where all of
+    these are toxic.
+
     A null or blank text has no words and gets the score of the bias alone. Without toxic training rows the model is
     the bias. Labels that are null, or of no document, are ignored; where a document has several, 1 wins. Rows of
-    docs come back one for one, repeated ids and null ids included; other columns are ignored.
+    docs come back one for one, repeated ids and null ids included; a very long text counts each of its words once, like
+    any other. Equal texts have equal scores. An empty table gives none. Other columns, whatever their names, are ignored.
     """
-    weights, bias = fit(docs, labels)
+    weights, bias = fit(docs, labels, prior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
