@@ -1,14 +1,17 @@
 """Operator 2: license texts and notices inside documents, with matched coverage and spans.
 
 Method: every template is cut into three-word shingles and winnowed (the least hash of each window of three), which
-an inverted index maps to template and place. A document's winnowed shingles are looked up; hits of one template on
-neighbouring diagonals make a candidate, whose words are aligned with the template's inside a band. Winnowing both
-sides alike finds every common run of five words or more. Templates of up to SHORT words are looked up by all their pairs
-of neighbouring words instead: with words replaced or left out as COVERAGE allows, one pair at least is still there.
+an inverted index maps to template and place. All shingles of a document are looked up, so every common run of five
+words or more is found, and shorter ones where they hold a fingerprint. Templates of up to SHORT words are looked up by
+all their pairs of neighbouring words instead: with words replaced or left out as COVERAGE allows, one pair at least is
+still there. Hits of one template on neighbouring diagonals make a group; groups that follow one another in the document
+and in the template make a chain (words put in or left out between them move the diagonal). A chain's words are aligned
+with the template's inside a band that holds all its diagonals, so its parts count together.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,38 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words as W
+from .license_texts import TEMPLATES
 
 K, WINDOW, BAND, COVERAGE, SHORT = 3, 3, 12, 0.7, 24
 
-#: Public license texts and notices.
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
-        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
-        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
-        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
-        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
-        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
-        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
-    ),
-    "Apache-2.0-header": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
-        "See the License for the specific language governing permissions and limitations under the License."
-    ),
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    ),
-}
 _SOLID = np.zeros(256, dtype=bool)
 _SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -90,7 +65,7 @@ class Index:
     """Template words, fingerprint -> (template, place), and the same for the word pairs of short templates."""
 
     names: list[str]
-    words: list[list[int]]
+    words: list[np.ndarray]
     prints: np.ndarray
     where: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     pairs: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
@@ -105,7 +80,7 @@ def build(templates: dict[str, str]) -> Index:
         shingles, at = _shingles(hashes, rows, 2 if short else K)
         for i in range(len(at)) if short else winnow(shingles, rows[at]).tolist():
             (pairs if short else where)[int(shingles[i])].append((t, int(at[i])))
-        words.append(hashes.tolist())
+        words.append(hashes)
     return Index(list(templates), words, np.array(sorted(where), dtype=np.uint64), dict(where), dict(pairs))
 
 
@@ -114,91 +89,131 @@ def band_of(n_words: int) -> int:
     return max(1, min(BAND, n_words // 4))
 
 
-def align(a: list[int], b: list[int], shift: int, band: int) -> tuple[int, int, int]:
-    """Most words of a matched in order in b with |place in b - place in a - shift| <= band; first and last matched place in b.
+_MASK = (1 << 21) - 1
 
-    Of equal matches the one that begins last, then the one that ends first: the tight one.
+
+def align(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """Most words of a matched in order in b with low <= place in b - place in a <= high; first and last matched place in b.
+
+    Of equal matches the one that begins last, then the one that ends first: the tight one. A row of cells, one for each
+    diagonal, is one number each: matched words, first place, how early the last one is, from the highest bits down.
     """
-    none = (0, -1, 1)  # matched, first place, -last place
-    row: dict[int, tuple[int, int, int]] = {}
+    wide = high - low + 1
+    pad = np.zeros(len(a) + wide + 1, dtype=b.dtype)
+    at = np.arange(len(pad)) + low
+    inside = (at >= 0) & (at < len(b))
+    pad[inside] = b[at[inside]]
+    row = np.zeros(wide + 1, dtype=np.int64)
     for i, x in enumerate(a):
-        new: dict[int, tuple[int, int, int]] = {}
-        left = none
-        for d in range(-band, band + 1):
-            j = i + shift + d
-            best = max(left, row.get(d + 1, none))
-            if 0 <= j < len(b) and b[j] == x:
-                m, first, _ = row.get(d, none)
-                best = max(best, (m + 1, first if m else j, -j))
-            new[d] = left = best
-        row = new
-    m, first, last = max(row.values())
-    return m, first, -last
+        hit = np.flatnonzero((pad[i : i + wide] == x) & inside[i : i + wide])
+        new = np.maximum(row[1:], row[:-1])
+        if len(hit):
+            old, j = row[hit], hit + i + low
+            m = old >> 42
+            new[hit] = np.maximum(new[hit], (m + 1) << 42 | np.where(m > 0, (old >> 21) & _MASK, j) << 21 | (_MASK - j))
+        row[:-1] = np.maximum.accumulate(new)
+    best = int(row.max())
+    return best >> 42, (best >> 21) & _MASK, _MASK - (best & _MASK)
+
+
+def chains(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """hits (place in the document, place in a template of `size` words) -> the least and the greatest diagonal of each chain.
+
+    A group is the hits of one template's length on diagonals half a band apart at most. One group follows another if it
+    begins behind it in both texts and their diagonals are no further apart than the template is long; a group follows
+    the one that gives the chain of most hits, and only groups a template's length back or less are looked at.
+    """
+    reach = max(1, band_of(size) // 2)
+    by_shift = sorted({(p - q, p, q) for p, q in hits})
+    groups: list[list[int]] = []  # first and last diagonal, first and last place in the document, in the template, hits
+    for s, p, q in by_shift:
+        g = groups[-1] if groups else None
+        if g and s - g[0] <= reach:
+            g[1], g[2], g[3], g[4], g[5], g[6] = s, min(g[2], p), max(g[3], p), min(g[4], q), max(g[5], q), g[6] + 1
+        else:
+            groups.append([s, s, p, p, q, q, 1])
+    groups.sort(key=lambda g: (g[2], g[4]))
+    score, back = [g[6] for g in groups], [-1] * len(groups)
+    first = 0
+    for i, g in enumerate(groups):
+        while groups[first][2] < g[2] - 2 * size:
+            first += 1
+        for j in range(first, i):
+            h = groups[j]
+            if h[3] < g[2] + K and h[5] < g[4] + K and h[2] < g[2] and h[4] < g[4] and abs(g[0] - h[1]) <= size and score[j] + g[6] > score[i]:
+                score[i], back[i] = score[j] + g[6], j
+    out, used = [], set()
+    for i in sorted(range(len(groups)), key=lambda i: -score[i]):
+        low = high = None
+        while i >= 0 and i not in used:
+            used.add(i)
+            low, high = min(groups[i][0], groups[i][0] if low is None else low), max(groups[i][1], groups[i][1] if high is None else high)
+            i = back[i]
+        if low is not None:
+            out.append((low, high))
+    return out
+
+
+def _found(index: Index, text: np.ndarray, hits: dict[int, list[tuple[int, int]]], coverage: float) -> list[tuple[int, int, int, int]]:
+    """(template, matched, first, last word) of the licenses of one text; of overlapping ones that of most matched words."""
+    out = []
+    for t, places in sorted(hits.items()):
+        words = index.words[t]
+        size, band = len(words), band_of(len(words))
+        for low, high in chains(places, size):
+            lo, hi = max(0, low - band), min(len(text), high + size + band)
+            part = text[lo:hi]
+            # No more words can match than there are in both.
+            if np.isin(words, part).sum() < coverage * size:
+                continue
+            m, first, last = align(words, part, low - band - lo, high + band - lo)
+            if m >= coverage * size:
+                out.append((-m, -m / size, t, lo + first, lo + last))
+    kept: list[tuple[int, int, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    for m, _, t, first, last in sorted(out, key=lambda x: (x[0], x[1], x[3], x[2])):
+        at = bisect_left(taken, (first, last))
+        if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last):
+            taken.insert(at, (first, last))
+            kept.append((t, -m, first, last))
+    return sorted(kept, key=lambda x: x[2])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """docs (doc_id, text, more) -> one row for each license found: doc_id, license, coverage, matched, template_words,
     first_word, last_word (from 0), first_byte, end_byte (of the UTF-8 text).
 
-    Overlapping finds of one template keep the best, the earlier of equals; different templates may overlap. Null and
-    wordless texts give none, as does an empty table. Repeated rows give repeated results; null ids come back null. Other columns are
-    ignored. A template of one word is never found.
+    Of overlapping finds the one of most matched words stays; of equals that of the higher coverage, then the earlier
+    one, then the template given first. A template that two others of the list resemble (a license and its variant) is
+    so reported once. Null and wordless texts give none, as does an empty table. Repeated rows give repeated results;
+    null ids come back null. A very long text is scanned whole. Other columns, whatever their names, are ignored. A
+    template of one word is never found.
     """
     index = build(TEMPLATES if templates is None else templates)
-    maybe = np.zeros(1 << 20, dtype=bool)
-    maybe[(index.prints >> np.uint64(44)).astype(np.int64)] = True
     pairs = np.array(sorted(index.pairs), dtype=np.uint64)
-    maybe_pair = np.zeros(1 << 20, dtype=bool)
-    maybe_pair[(pairs >> np.uint64(44)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = [np.zeros(1 << 20, dtype=bool) for _ in range(2)]
+        for mask, prints in zip(maybe, (index.prints, pairs), strict=True):
+            mask[(prints >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
             for part, data, offsets in W.chunks(batch):
                 hashes, rows, start, end = W.words(_clean(data), offsets)
-                shingles, at = _shingles(hashes, rows)
-                fits = np.flatnonzero(maybe[(shingles >> np.uint64(44)).astype(np.int64)])
-                fits = fits[np.isin(shingles[fits], index.prints)]
-                two, at_two = _shingles(hashes, rows, 2)
-                near = np.flatnonzero(maybe_pair[(two >> np.uint64(44)).astype(np.int64)])
-                near = near[np.isin(two[near], pairs)]
-                if not len(fits) and not len(near):
-                    continue
-                # Only rows with a hit are winnowed.
-                hit_rows = np.unique(rows[at[fits]])
-                own = np.flatnonzero(np.isin(rows[at], hit_rows))
-                picked = own[winnow(shingles[own], rows[at[own]])]
                 begins = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                found = defaultdict(list)
-                for p in picked[np.isin(shingles[picked], index.prints)].tolist():
-                    r = int(rows[at[p]])
-                    for t, place in index.where[int(shingles[p])]:
-                        found[r, t].append(int(at[p]) - int(begins[r]) - place)
-                for p in near.tolist():
-                    r = int(rows[at_two[p]])
-                    for t, place in index.pairs[int(two[p])]:
-                        found[r, t].append(int(at_two[p]) - int(begins[r]) - place)
+                found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+                for k, mask, prints, where in ((K, maybe[0], index.prints, index.where), (2, maybe[1], pairs, index.pairs)):
+                    shingles, at = _shingles(hashes, rows, k)
+                    near = np.flatnonzero(mask[(shingles >> np.uint64(44)).astype(np.int64)])
+                    near = near[np.isin(shingles[near], prints)]
+                    for r, place, print_ in zip(rows[at[near]].tolist(), (at[near] - begins[rows[at[near]]]).tolist(), shingles[near].tolist(), strict=True):
+                        for t, own in where[print_]:
+                            found[r][t].append((place, own))
                 out = []
-                for (r, t), shifts in sorted(found.items()):
-                    text, words, hits = hashes[begins[r] : begins[r + 1]], index.words[t], []
-                    band = band_of(len(words))
-                    groups: list[list[int]] = []
-                    for s in sorted(set(shifts)):
-                        if groups and s - groups[-1][0] <= band // 2:
-                            groups[-1].append(s)
-                        else:
-                            groups.append([s])
-                    for g in groups:
-                        shift = g[len(g) // 2]
-                        lo, hi = max(0, shift - band), min(len(text), shift + len(words) + band)
-                        m, first, last = align(words, text[lo:hi].tolist(), shift - lo, band)
-                        if m >= coverage * len(words):
-                            hits.append((-m, lo + first, lo + last))
-                    taken: list[tuple[int, int]] = []
-                    for m, first, last in sorted(hits):
-                        if all(last < a or first > b for a, b in taken):
-                            taken.append((first, last))
-                            a, b = int(begins[r]) + first, int(begins[r]) + last
-                            out.append((r, index.names[t], -m / len(words), -m, len(words), first, last, int(start[a] - offsets[r]), int(end[b] - offsets[r])))
+                for r, hits in sorted(found.items()):
+                    for t, m, first, last in _found(index, hashes[begins[r] : begins[r + 1]], hits, coverage):
+                        a, b = int(begins[r]) + first, int(begins[r]) + last
+                        size = len(index.words[t])
+                        out.append((r, index.names[t], m / size, m, size, first, last, int(start[a] - offsets[r]), int(end[b] - offsets[r])))
                 if out:
                     r, name, cover, m, size, first, last, a, b = zip(*out, strict=True)
                     ints = lambda x: pa.array(x, pa.int32())
