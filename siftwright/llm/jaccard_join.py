@@ -46,6 +46,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles of the frequent class at most (1 MB broadcast), occurrences that make one frequent, and what a task reports at most.
 FREQUENT_MOST, FREQUENT_FROM, TASK_MOST = 1 << 17, 8, 1 << 15
+#: Different shingles that a task counts at once; the rarest give way beyond it (about 60 MB).
+TABLE_MOST = 1 << 19
 #: An index entry of more nodes is split by the sizes of partners (up to it, a node meets at most so many others in an entry, by bitmaps
 #: alone, which is cheaper than indexing whole sets again); ids that a filter holds, at most (8 to 16 MB), beyond which they are joined.
 HOT, FILTER_IDS = 128, 1 << 22
@@ -72,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.concatenate([tokens, new])
         tokens, place = np.unique(both, return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate([counts, times]), minlength=len(tokens)).astype(np.int64)
-        while len(tokens) > 1 << 21:
+        while len(tokens) > TABLE_MOST:
             keep = counts > floor
             tokens, counts, floor = tokens[keep], counts[keep], floor + 1
         held, size = [], 0
@@ -81,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batch):
             held += sets
             size += sum(map(len, sets))
-            if size > 1 << 20:
+            if size > TABLE_MOST // 2:
                 merge()
     merge()
     keep = np.flatnonzero(counts > 1)
