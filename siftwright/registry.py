@@ -106,7 +106,7 @@ def probe_ids(s: SparkSession, d: str) -> DataFrame:
     return probe.ids_in(_docs(s, d), "rel").select("rel", "value", "id_key", probe.id_rank(F.col("value")).alias("id_rank"))
 
 
-_TERMS = f"q as (select item_id as qid, string_split({_SQUASH.format('text')}, ' ') as w from benchmark), terms as (select distinct qid, array_to_string(w[i * 4 + 1:i * 4 + 4], ' ') as key from (select qid, w, unnest([0, 1, 2]) as i from q) where len(w[i * 4 + 1:i * 4 + 4]) = 4)"
+_TERMS = f"q as (select item_id as qid, string_split({_SQUASH.format('text')}, ' ') as w from benchmark), terms as (select distinct qid, array_to_string(w[i * 4 + 1:i * 4 + 4], ' ') as key from (select qid, w, unnest(range(0, (len(w) - 1) // 4 + 1)) as i from q) where len(w[i * 4 + 1:i * 4 + 4]) = 4)"
 _MATCH = _D.rstrip() + f""", {_TERMS}, fields as (select rel, ' ' || {_SQUASH.format('body')} || ' ' as field from docs),
 held as (select key, rel from (select distinct key from terms) k join fields on contains(field, ' ' || key || ' ')), active as (select key from held group by key having count(*) <= 50),
 live as (select * from terms join active using (key)), per as (select qid, count(*) as of_ from live group by qid),
@@ -243,22 +243,30 @@ def outgoing_links(s: SparkSession, d: str) -> DataFrame:
     return code.outgoing_links(lines.lines_of(_code(s, d)))
 
 
-@_query()
+#: Turns are sections of one parent; neighbours join while they hold 2000 bytes at most. No turn of the tables is empty or above 3000 bytes, or has a heading or table of its own.
+_TURNS = """with recursive t as (select 'conv/' || conv_id || '.md' as rel, row_number() over (partition by conv_id order by turn) as k, role, '## ' || role || chr(10) || coalesce(text, '') as body from conversations),
+ s as (select *, strlen(body) as w, len(string_split(body, chr(10))) as n from t),
+ r as (select rel, k, 0 as g, w as used from s where k = 1 union all select s.rel, s.k, case when r.used + 1 + s.w <= 2000 then r.g else r.g + 1 end, case when r.used + 1 + s.w <= 2000 then r.used + 1 + s.w else s.w end from r join s on s.rel = r.rel and s.k = r.k + 1),
+ e as (select rel, k, g, role, body, n, sum(n) over (partition by rel order by k) as upto from r join s using (rel, k)),
+ pieces as (select rel, g::int as pos, string_agg(role, '; ' order by k) as title, (min(upto - n) + 1)::int as "from", max(upto)::int as "to", 'heading' as shape, string_agg(body, chr(10) order by k) as body from e group by rel, g) """
+
+
+@_query(_TURNS + "select * from pieces")
 def segments_prose(s: SparkSession, d: str) -> DataFrame:
     return segment.segments(_convs(s, d))
 
 
-@_query()
+@_query(_D + "select rel, 0::int as pos, '' as title, 1::int as \"from\", len(string_split(body, chr(10)))::int as \"to\", 'fallback' as shape, body from docs where trim(body) <> ''")
 def segments_fallback(s: SparkSession, d: str) -> DataFrame:
     return segment.segments(_docs(s, d))
 
 
-@_query("with m as (select 'src/' || lower(replace(p_type, ' ', '_')) || '/m' || p_partkey || '.py' as rel, p_size, p_partkey from part) select rel, 0::int as pos, 'Part' || p_partkey as title, 4::int as \"from\", 4::int as \"to\" from m union all select rel, 1, 'Part' || p_partkey || '.price_' || p_size, 5, 6 from m union all select rel, 2, 'Part' || p_partkey || '.name_' || p_partkey % 7, 8, 9 from m union all select rel, 3, 'make_' || p_partkey % 11, 11, 12 from m")
+@_query("with m as (select 'src/' || lower(replace(p_type, ' ', '_')) || '/m' || p_partkey || '.py' as rel, p_size, p_partkey from part) select rel, 0::int as pos, 'Part' || p_partkey as title, 4::int as \"from\", 4::int as \"to\" from m union all select rel, 1, 'price_' || p_size, 5, 6 from m union all select rel, 2, 'name_' || p_partkey % 7, 8, 9 from m union all select rel, 3, 'make_' || p_partkey % 11, 11, 12 from m")
 def segments_python(s: SparkSession, d: str) -> DataFrame:
     return segment.segments(_code(s, d)).select("rel", "pos", "title", "from", "to")
 
 
-@_query(_PARTS + "select rel, 0::int as pos, 'Part' || k as title, 1::bigint as score, 1::int as place from m union all select rel, 1, 'Part' || k || '.price_' || z, 1, 2 from m union all select rel, 2, 'Part' || k || '.name_' || k % 7, 1, 3 from m")
+@_query(_PARTS + "select rel, 0::int as pos, 'Part' || k as title, 1::bigint as score, 1::int as place from m union all select rel, 1, 'price_' || z, 1, 2 from m union all select rel, 2, 'name_' || k % 7, 1, 3 from m")
 def decl_pick(s: SparkSession, d: str) -> DataFrame:
     docs = _code(s, d)
     return judge.declarations(segment.segments(docs), code.grep(lines.lines_of(docs), _names(s, d)))
@@ -323,7 +331,9 @@ def survey_path_hits(s: SparkSession, d: str) -> DataFrame:
     return survey.path_hits(_code(s, d), survey.query_tokens(asked))
 
 
-@_query()
+@_query(_TURNS + """, o as (select rel, pos, row_number() over (partition by rel order by pos, rel || ':' || pos) as k, strlen(body) as w from pieces),
+ b as (select rel, pos, k, 0 as batch, 1 as n, w as used from o where k = 1 union all select o.rel, o.pos, o.k, case when b.n = 24 or b.used + o.w > 16000 then b.batch + 1 else b.batch end, case when b.n = 24 or b.used + o.w > 16000 then 1 else b.n + 1 end, case when b.n = 24 or b.used + o.w > 16000 then o.w else b.used + o.w end from b join o on o.rel = b.rel and o.k = b.k + 1)
+select rel as qid, rel || ':' || pos as tag, batch::int as batch from b""")
 def pack_batches(s: SparkSession, d: str) -> DataFrame:
     parts = segment.segments(_convs(s, d))
     return segment.pack(parts.select(F.col("rel").alias("qid"), "pos", F.concat_ws(":", "rel", "pos").alias("tag"), "body"))
@@ -335,9 +345,24 @@ def problems_fold(s: SparkSession, d: str) -> DataFrame:
     return judge.fold_problems(part.select(F.col("p_size").cast("long").alias("qid"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("code"), F.lit(1).alias("times"), F.col("p_name").alias("note")))
 
 
-@_query()
+@_query(_MATCH + f""", f as (select qid, rel, round(weight, 6) as rank, row_number() over (partition by qid order by weight desc, matched_share desc, rel) as place from ranked where place <= 50),
+ s as (select qid, rel, {_verdict("'s:' || rel || ':1-' || len(string_split(body, chr(10)))")} as p, body from f join docs using (rel) where place <= 6),
+ h as (select qid, string_agg(case when place <= 6 then rel end, ' ' order by place) as hits, string_agg(case when place > 6 then rel end, ' ' order by place) as also from f group by qid),
+ c as (select qid, count(*) as asked, count(*) filter (p >= 0.25) as sections, count(*) filter (p >= 0.6) as quotes from s group by qid)
+select item_id as qid, text as question, 'probe' as route, 'done' as outcome, coalesce(hits, '') as hits, coalesce(also, '') as also, coalesce(sections, 0)::bigint as sections, coalesce(quotes, 0)::bigint as quotes, coalesce(asked, 0)::bigint as asked, (select count(*) from docs) as docs_read from benchmark left join h on h.qid = item_id left join c on c.qid = item_id""")
 def report_json(s: SparkSession, d: str) -> DataFrame:
-    return report.report_json(search.probe_route(_docs(s, d), search.grams(_questions(s, d))), "probe")
+    """What the JSON reports say, read back from them."""
+    docs, asked = _docs(s, d), _questions(s, d)
+    ranked = search.probe_route(docs, search.grams(asked)).withColumn("via", F.lit("probe"))
+    parts = ranked.where("listed").select("qid", "rel").join(search.pieces_of(docs), "rel")
+    said = judge.hash_verdicts(parts.select("qid", F.concat(F.lit("s:"), "key").alias("tag")))
+    kept = judge.judge_sections(parts, said).join(parts, ["qid", "rel", "key"])
+    problems = s.sql("select bigint(0) as qid, bigint(0) as seq, '' as code, 1 as times, '' as note where false")
+    made = report.reports(asked.withColumn("route", F.lit("probe")), ranked, kept, ranked.select("rel").where("false"), problems, report.tally(asked, docs, said))
+    kind = "question string, route string, outcome string, hits array<struct<rel:string,sections:array<struct<segment:string>>,quotes:array<struct<body:string>>>>, also array<struct<rel:string>>, tally struct<asked:bigint,docs_read:bigint>"
+    read = report.report_json(made).select("qid", F.from_json("report", kind).alias("r")).select("qid", "r.*")
+    many = lambda c: F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + F.size(h[c]))
+    return read.select("qid", "question", "route", "outcome", F.array_join("hits.rel", " ").alias("hits"), F.array_join("also.rel", " ").alias("also"), many("sections").alias("sections"), many("quotes").alias("quotes"), "tally.*")
 
 
 @_query(_PARTS + "select rel, 'LIMIT_' || z as name, 'constant' as form from m")
@@ -369,7 +394,7 @@ def link_targets(s: SparkSession, d: str) -> DataFrame:
     return links.link_targets(found, docs, chosen.select("qid", "rel")).select("qid", "rel", F.element_at("at", 1).alias("line"), "weight", "place")
 
 
-@_query(_PARTS + "select 1::int as qid, rel, 1::int as pos, 'Part' || k || '.price_' || z as title from m union all select 1, rel, 2, 'Part' || k || '.name_' || k % 7 from m")
+@_query(_PARTS + "select 1::int as qid, rel, 1::int as pos, 'price_' || z as title from m union all select 1, rel, 2, 'name_' || k % 7 from m")
 def segments_around(s: SparkSession, d: str) -> DataFrame:
     docs = _code(s, d)
     targets = docs.select(F.lit(1).alias("qid"), "rel", F.array(F.lit(5), F.lit(9)).alias("at"))
@@ -409,9 +434,8 @@ def survey_fallback(s: SparkSession, d: str) -> DataFrame:
  picked as (select rel, {_PEAK} as p, row_number() over (order by a, split_part(b, '/', 2), name) as place from f where {_verdict("'d:' || a")} >= 0.5 and {_verdict("'d:' || b")} >= 0.5 and {_PEAK} >= 0.25)
  select item_id as qid, rel, round(p, 6) as weight, place::int as place from picked, benchmark where place <= 80""")
 def survey_walk(s: SparkSession, d: str) -> DataFrame:
-    """Every question walks the same tree: its words stand in no path, and a verdict depends on the path alone."""
-    lex = _questions(s, d).select("qid", F.lit("zzzz").alias("token"), F.lit(False).alias("strong"))
-    found, _ = survey.walk(_docs(s, d), lex, judge.hash_verdicts, search.settled)
+    """All questions, by their own words; a verdict depends on the path alone, and few words of the questions stand in a path."""
+    found, _ = survey.walk(_docs(s, d), survey.lexicon(_questions(s, d)), judge.hash_verdicts, search.settled)
     return found.select("qid", "rel", F.round("weight", 6).alias("weight"), F.col("at").alias("place"))
 
 
@@ -422,7 +446,7 @@ def link_hops(s: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""with m as (select 'web/' || lower(replace(p_type, ' ', '_')) || '/w' || p_partkey || '.ts' as rel, p_size as z, p_partkey as k from part)
-select rel, 0::int as pos, 'Part' || k as title, 1::int as "from", 7::int as "to", 'declaration' as shape from m union all select rel, 1, 'Part' || k || '.price' || z, 2, 6, 'declaration' from m union all select rel, 2, 'make' || k % 7, 9, 12, 'declaration' from m""")
+select rel, 0::int as pos, 'Part' || k as title, 1::int as "from", 7::int as "to", 'declaration' as shape from m union all select rel, 1, 'price' || z, 2, 6, 'declaration' from m union all select rel, 2, 'make' || k % 7, 9, 12, 'declaration' from m""")
 def segments_script(s: SparkSession, d: str) -> DataFrame:
     return segment.segments(T.corpus(s, d, T.SCRIPT_SQL, "part")).select("rel", "pos", "title", "from", "to", "shape")
 
@@ -433,7 +457,8 @@ def code_route(s: SparkSession, d: str) -> DataFrame:
     return ranked.select("qid", "rel", F.round("value", 6).alias("value"), "place")
 
 
-@_query()
+@_query(_SCORE + """, p as (select qid, rel, regexp_extract(rel, 'm([0-9]+)[.]py$', 1)::bigint as k from placed where place <= 30), z as (select qid, rel, k, p_size as z from p join part on p_partkey = k)
+select qid, rel, 0::int as pos, 'Part' || k as title, 4::int as "from", 4::int as "to" from z union all select qid, rel, 1, 'price_' || z, 5, 6 from z union all select qid, rel, 2, 'name_' || k % 7, 8, 9 from z""")
 def declaration_segments(s: SparkSession, d: str) -> DataFrame:
     docs, asked = _code(s, d), _names(s, d)
     hits = code.grep(lines.lines_of(docs), asked)

@@ -15,6 +15,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from email.utils import parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +65,18 @@ class Endpoint:
             return 503, {}, {"message": str(e)}
 
 
+def retry_after(value: str | None, pause: float) -> float:
+    """Seconds to wait by a Retry-After header, which is a number or a date."""
+    try:
+        return max(0.0, float(value)) if value is not None else pause
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - time.time())
+    except ValueError:
+        return pause
+
+
 def failure(status: int, headers: dict, body: dict, pause: float) -> ProviderError:
     """What a status other than 200 means."""
     error = body.get("error")
@@ -71,11 +84,7 @@ def failure(status: int, headers: dict, body: dict, pause: float) -> ProviderErr
     if status in (401, 403):
         return ProviderError("auth", message)
     if status == 429:
-        try:
-            wait = max(0.0, float(headers.get("retry-after", pause)))
-        except ValueError:
-            wait = pause
-        return ProviderError("rate-limit", message, wait)
+        return ProviderError("rate-limit", message, retry_after(headers.get("retry-after"), pause))
     if status == 422 and "token" in message.lower():
         return ProviderError("token-limit", message)
     return ProviderError("provider", message, pause, transient=status == 408 or status >= 500)
@@ -151,13 +160,28 @@ def post(endpoint: Endpoint, asks: list[tuple[str, str, str]], slots: Slots | No
         raise error
 
 
+def without_chosen(state: str) -> str:
+    """A state without the passages chosen from other files: they go first where a request is too large."""
+    try:
+        found = json.loads(state)
+    except ValueError:
+        return state
+    about = found.get("about") if isinstance(found, dict) else None
+    if not isinstance(about, dict) or about.pop("chosen", None) is None:
+        return state
+    return json.dumps(found, ensure_ascii=False)
+
+
 def ask(endpoint: Endpoint, asks: list[tuple[str, str, str]], cut: bool = False, slots: Slots | None = None) -> list[tuple[float | None, str | None]]:
-    """(probability, problem) of each ask. Too large a batch is halved, and a single ask's state cut to half once; refused keys raise."""
+    """(probability, problem) of each ask. Too large a batch loses the chosen passages, then is halved, and a single ask's state cut to half once; refused keys raise."""
     try:
         return [(p, None) for p in post(endpoint, asks, slots)]
     except ProviderError as e:
         if e.code == "auth":
             raise
+        bare = [(tag, prompt, without_chosen(state)) for tag, prompt, state in asks]
+        if e.code == "token-limit" and bare != asks:
+            return ask(endpoint, bare, cut=cut, slots=slots)
         if e.code == "token-limit" and len(asks) > 1:
             mid = len(asks) // 2
             return ask(endpoint, asks[:mid], slots=slots) + ask(endpoint, asks[mid:], slots=slots)

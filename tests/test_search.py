@@ -6,7 +6,7 @@ import pytest
 
 from siftwright import registry
 from siftwright.functions import text as X
-from siftwright.operators import code, judge, lines, probe, rank, segment
+from siftwright.operators import code, judge, lines, probe, prose, rank, segment
 from siftwright.plans import search
 from siftwright.sources import tree
 from siftwright.sources.tables import as_docs
@@ -64,17 +64,17 @@ def test_python_defs_owners(spark):
 def test_segments_stay_in_bounds():
     body = "lead\n\n# A\ntext\n```\n# no\n```\n## B\n" + "\n\n".join(["word " * 100] * 9) + "\n\n| a | b |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(45))
     n = len(body.split("\n"))
-    found = segment.prose(body)
+    found = prose.cut(body)
     assert [s[0] for s in found][:2] == ["", "A"] and any(s[0] == "A > B" for s in found)
     assert all(1 <= a <= b <= n for _, a, b, _, _ in found)
     tables = [s for s in found if s[3] == "table"]
     assert len(tables) == 3 and all("|---|---|" in s[4] for s in tables)
-    assert segment.prose("") == []
+    assert prose.cut("") == []
 
 
 def test_script_blocks():
     body = "import x from 'y';\nexport class A extends B {\n  constructor(a) {\n    this.a = '}';\n  }\n  get b() {\n    return 1;\n  }\n}\nconst f = (x) => {\n  return `}`;\n};\nfunction g() {}\n"
-    assert [(s[0], s[1], s[2]) for s in segment.script_blocks(body)] == [("A", 2, 9), ("A.constructor", 3, 5), ("A.b", 6, 8), ("f", 10, 12), ("g", 13, 13)]
+    assert [(s[0], s[1], s[2]) for s in segment.script_blocks(body)] == [("A", 2, 9), ("constructor", 3, 5), ("get b", 6, 8), ("f", 10, 12), ("g", 13, 13)]
 
 
 def test_tree_source(spark, tmp_path):
