@@ -65,7 +65,7 @@ def test_segments_stay_in_bounds():
     body = "lead\n\n# A\ntext\n```\n# no\n```\n## B\n" + "\n\n".join(["word " * 100] * 9) + "\n\n| a | b |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(45))
     n = len(body.split("\n"))
     found = prose.cut(body)
-    assert [s[0] for s in found][:2] == ["", "A"] and any(s[0] == "A > B" for s in found)
+    assert found[0][:3] == ("A", 1, 7) and any(s[0] == "A > B" for s in found)
     assert all(1 <= a <= b <= n for _, a, b, _, _ in found)
     tables = [s for s in found if s[3] == "table"]
     assert len(tables) == 3 and all("|---|---|" in s[4] for s in tables)
