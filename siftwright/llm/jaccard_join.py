@@ -178,22 +178,6 @@ def _id_filter(ids: DataFrame, n: int) -> np.ndarray:
     return mask
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (and a few more): through a filter of checked size, or else by a join."""
-    n = ids.count()
-    if n > FILTER_IDS:
-        return docs.join(ids.distinct(), "doc_id", "left_semi")
-    mask = _id_filter(ids, n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(mask).astype(bool)
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(bits[_id_places(ids, len(bits))].all(axis=0)))
-
-    return docs.where("doc_id is not null").mapInArrow(run, docs.schema)
-
-
 def _digests(every: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Two order-free digests of each set (the sets lie one after another): sums of its differently mixed shingles."""
     ends = np.cumsum(sizes)
@@ -203,14 +187,32 @@ def _digests(every: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (run[:, ends] - run[:, ends - sizes]).view(np.int64)
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, sets in _sets(batch):
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            d1, d2 = _digests(every, sizes)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(offsets, pa.array(every.view(np.int64)))], names=["doc_id", "d1", "d2", "h"])
+def _whole_sets(mask: np.ndarray | None):
+    """The sets of a batch's rows, of those whose id is in the filter where there is one; one Python worker does both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if mask is None else np.unpackbits(mask).astype(bool)
+        for batch in batches:
+            if bits is not None:
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(bits[_id_places(ids, len(bits))].all(axis=0)))
+            for part, sets in _sets(batch):
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                d1, d2 = _digests(every, sizes)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(offsets, pa.array(every.view(np.int64)))], names=["doc_id", "d1", "d2", "h"])
+
+    return run
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, d1, d2, h of the rows of docs whose doc_id is among ids (and of a few more): through a filter of checked size, or else a join."""
+    n, given = ids.count(), docs.where("doc_id is not null")
+    mask = _id_filter(ids, n) if n <= FILTER_IDS else None
+    if mask is None:
+        given = given.join(ids.distinct(), "doc_id", "left_semi")
+    return given.mapInArrow(_whole_sets(mask), "doc_id long, d1 long, d2 long, h array<long>")
 
 
 @dataclass
@@ -225,7 +227,7 @@ class _Corpus:
         """wanted (node) -> node, h: whole sets, made again for these nodes alone and written. That costs a scan and saves
         keeping every set on disk."""
         keys = written(self.nodes.select("node", "doc_id", "d1", "d2").join(wanted, "node", "left_semi"), "wanted")
-        made = _with_ids(self.docs, keys.select("doc_id")).mapInArrow(_whole_sets, "doc_id long, d1 long, d2 long, h array<long>")
+        made = _sets_of(self.docs, keys.select("doc_id"))
         if self.repeated:  # rows that repeat id and text have one set
             made = made.dropDuplicates(["doc_id", "d1", "d2"])
         out = written(made.join(keys, ["doc_id", "d1", "d2"]).select("node", "h"), "sets")
