@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -122,11 +122,31 @@ def sibling_overrides(defs: DataFrame) -> DataFrame:
     return methods.select("base", "name", "rel", "line")
 
 
+# Patterns of calls, imports and bases, with the weight of each.
+_OUTGOING = (
+    (r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\(", 1),
+    (r"^\s*from\s+[\w.]+\s+import\s+\(?([^#\n]+)", 2),
+    (r"^\s*import\s+([\w.]+(?:\s*,\s*[\w.]+)*)", 2),
+    (r"^\s*import\s+(?:type\s+)?\{([^}]*)\}\s+from", 2),
+    (r"^\s*class\s+\w+\s*\(([^)]*)\)", 3),
+    (r"\bextends\s+([\w$.]+)", 3),
+)
+_DECLARED = r"^\s*(?:async\s+)?(?:def|class|function)\s+([A-Za-z_$][\w$]*)"
+
+
+def _weighed(names: Column, weight: int) -> Column:
+    return F.transform(names, lambda m: F.struct(m.alias("said"), F.lit(weight).alias("w")))
+
+
 def outgoing_links(lines: DataFrame, most: int = 30) -> DataFrame:
-    """(rel, name, weight, place): names a file calls (1), imports (2) or derives from (3), summed, without its own and common ones."""
-    calls = lines.select("rel", F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z_][0-9A-Za-z_]*)\s*\("), 1)).alias("name"), F.lit(1).alias("w"))
-    named = lines.select("rel", F.explode(F.split(F.regexp_extract("line", r"^\s*from\s+[\w.]+\s+import\s+([^#(]+)", 1), r"\s*,\s*")).alias("name"), F.lit(2).alias("w"))
-    bases = lines.select("rel", F.explode(F.split(F.regexp_extract("line", r"^\s*class\s+\w+\s*\(([^)]*)\)", 1), r"\s*,\s*")).alias("name"), F.lit(3).alias("w"))
-    own = lines.select("rel", F.regexp_extract("line", r"^\s*(?:async\s+)?(?:def|class)\s+([A-Za-z_][0-9A-Za-z_]*)", 1).alias("name")).where("name <> ''").distinct()
-    every = calls.union(named).union(bases).where((F.col("name") != "") & ~F.col("name").isin(*P.COMMON)).join(own, ["rel", "name"], "left_anti")
+    """(rel, name, weight, place): names a file calls (1), imports (2) or derives from (3), summed, without its own and common ones.
+
+    Of a dotted or renamed one the last part of what it was; names of under three letters don't count.
+    """
+    said = lambda pattern: F.flatten(F.transform(F.regexp_extract_all("line", F.lit(pattern), 1), lambda m: F.split(F.regexp_replace(m, r"[()\\]", ""), ",")))
+    each = F.flatten(F.array(*(_weighed(said(p), w) for p, w in _OUTGOING)))
+    found = lines.select("rel", F.explode(each).alias("x")).select("rel", "x.*").where(~F.contains("said", F.lit("=")))
+    last = F.substring_index(F.trim(F.substring_index(F.trim("said"), " as ", 1)), ".", -1)
+    own = lines.select("rel", F.regexp_extract("line", _DECLARED, 1).alias("name")).where("name <> ''").distinct()
+    every = found.select("rel", last.alias("name"), "w").where(F.col("name").rlike(r"^[A-Za-z_$][\w$]{2,}$") & ~F.col("name").isin(*P.COMMON)).join(own, ["rel", "name"], "left_anti")
     return top(every.groupBy("rel", "name").agg(F.sum("w").alias("weight")), ["rel"], [F.desc("weight"), "name"], most)

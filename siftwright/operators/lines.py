@@ -22,6 +22,7 @@ def python_defs(lines: DataFrame) -> DataFrame:
     """
     solid = lines.where(F.col("rel").rlike(r"\.pyi?$") & ~F.col("line").rlike(r"^\s*(#.*)?$"))
     indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
+    # Patterns of Python definitions.
     cls, fun, var = r"^\s*class\s+([A-Za-z_]\w*)\s*(?:\(([^)]*)\)?)?", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", r"^([A-Za-z_]\w*)\s*(?::[^=]+)?=(?!=)"
     form = F.when(F.col("line").rlike(cls), "class").when(F.col("line").rlike(fun), "def").when(F.col("line").rlike(var), "assign")
     t = solid.select("rel", F.col("n").alias("line_no"), "line", indent.alias("indent"), form.alias("form"))
@@ -51,6 +52,7 @@ def script_defs(lines: DataFrame) -> DataFrame:
     A fold along the lines that declare something or begin with a closing brace; such a brace closes the classes of its indent or more.
     Variables at the margin are assign, others def; a method needs an open class.
     """
+    # Patterns of script definitions.
     name, export = r"([A-Za-z_$][\w$]*)", r"^\s*(?:export\s+)?(?:default\s+)?"
     cls = rf"{export}(?:abstract\s+)?class\s+{name}(?:\s*<[^>]*>)?(?:\s+extends\s+([\w$.]+))?"
     shapes = {

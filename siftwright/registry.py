@@ -238,7 +238,7 @@ def sibling_overrides(s: SparkSession, d: str) -> DataFrame:
     return code.sibling_overrides(lines.python_defs(lines.lines_of(_code(s, d))))
 
 
-@_query("with m as (select 'src/' || lower(replace(p_type, ' ', '_')) || '/m' || p_partkey || '.py' as rel, p_size from part), l as (select rel, 'Base' || p_size as name, 5::bigint as weight from m union all select rel, 'helper', 3 from m) select rel, name, weight, row_number() over (partition by rel order by weight desc, name)::int as place from l")
+@_query("with m as (select 'src/' || lower(replace(p_type, ' ', '_')) || '/m' || p_partkey || '.py' as rel, p_size from part), l as (select rel, 'Base' || p_size as name, 5::bigint as weight from m union all select rel, 'helper', 3 from m union all select rel, 'base', 2 from m) select rel, name, weight, row_number() over (partition by rel order by weight desc, name)::int as place from l")
 def outgoing_links(s: SparkSession, d: str) -> DataFrame:
     return code.outgoing_links(lines.lines_of(_code(s, d)))
 

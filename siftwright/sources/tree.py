@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,42 +14,79 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .. import params as P
 
 SCHEMA = "rel string, size long, sha string, body string"
-
-
-def ignore_rules(text: str) -> list[tuple[str, bool, bool, bool]]:
-    """(pattern, negated, directories only, anchored) of each line of an ignore file."""
+#: Bytes of files, with 4096 more a file, that one task reads.
+PART_BYTES = 32 << 20
+
+
+def _pattern(text: str) -> re.Pattern[str]:
+    """An ignore pattern as a regular expression over paths: * and ? stay inside a name, ** takes whole directories."""
+    out, i = [], 0
+    while i < len(text):
+        c = text[i]
+        if text.startswith("**/", i) and (i == 0 or text[i - 1] == "/"):
+            out.append("(?:[^/]+/)*")
+            i += 3
+            continue
+        if text[i:] == "**" and i and text[i - 1] == "/":
+            out.append(".+")
+            break
+        if c == "*":
+            while text.startswith("*", i + 1):
+                i += 1
+            out.append("[^/]*")
+        elif c == "?":
+            out.append("[^/]")
+        elif c == "[" and (end := text.find("]", i + 2)) > 0:
+            inside = text[i + 1 : end].replace("\\", "\\\\")
+            out.append("(?!/)[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]")
+            i = end
+        elif c == "\\" and i + 1 < len(text):
+            i += 1
+            out.append(re.escape(text[i]))
+        else:
+            out.append(re.escape(c))
+        i += 1
+    return re.compile("".join(out) + r"\Z", re.S)
+
+
+def ignore_rules(text: str) -> list[tuple[re.Pattern[str], bool, bool, bool]]:
+    """(pattern, negated, directories only, anchored) of each line of an ignore file; a slash before the end anchors it to the root."""
     out = []
     for line in text.splitlines():
-        line = line.rstrip()
+        line = re.sub(r"(?<!\\)\s+$", "", line)
         if not line or line.startswith("#"):
             continue
-        negated, line = line.startswith("!"), line.lstrip("!")
+        negated = line.startswith("!")
+        line = line[negated:]
         only_dirs, line = line.endswith("/"), line.rstrip("/")
-        out.append((line.lstrip("/"), negated, only_dirs, "/" in line))
+        if line:
+            out.append((_pattern(line.removeprefix("/")), negated, only_dirs, "/" in line))
     return out
 
 
-def ignored(rel: str, is_dir: bool, rules: list[tuple[str, bool, bool, bool]]) -> bool:
+def ignored(rel: str, is_dir: bool, rules: list[tuple[re.Pattern[str], bool, bool, bool]]) -> bool:
+    """Whether the last rule that fits a path ignores it; what lies below an ignored directory is never looked at."""
     hit = False
     for pattern, negated, only_dirs, anchored in rules:
-        if only_dirs and not is_dir:
-            continue
-        name = rel if anchored else rel.rsplit("/", 1)[-1]
-        if fnmatch.fnmatchcase(name, pattern):
+        if (is_dir or not only_dirs) and pattern.match(rel if anchored else rel.rsplit("/", 1)[-1]):
             hit = not negated
     return hit
 
 
 class _Part(InputPartition):
-    def __init__(self, top: str) -> None:
-        self.top = top
+    def __init__(self, files: list[str]) -> None:
+        self.files = files
 
 
 class TreeReader(DataSourceReader):
-    """One partition for each entry of the root; ignored subtrees are never entered."""
+    """The files of a tree in parts of about PART_BYTES; ignored subtrees are never entered, unreadable directories are empty.
 
-    def __init__(self, root: str, file_bytes: int) -> None:
-        self.root, self.file_bytes = os.path.abspath(root), file_bytes
+    The tree is listed once, in order, up to `files_most` files of `file_bytes` at most; `clipped` tells whether there were more. The
+    tree must be mounted under the same path wherever tasks run.
+    """
+
+    def __init__(self, root: str, file_bytes: int, files_most: int = P.FILES_MOST) -> None:
+        self.root, self.file_bytes, self.files_most, self.clipped = os.path.abspath(root), file_bytes, files_most, False
         rules = ignore_rules("\n".join(P.IGNORED))
         path = os.path.join(self.root, ".gitignore")
         if os.path.isfile(path):
@@ -57,33 +94,51 @@ class TreeReader(DataSourceReader):
                 rules += ignore_rules(f.read())
         self.rules = rules
 
-    def partitions(self) -> list[_Part]:
-        return [_Part(x) for x in sorted(os.listdir(self.root))] or [_Part("")]
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        if not partition.top:
-            return
-        stack = [partition.top]
+    def listed(self) -> list[tuple[str, int]]:
+        """(rel, bytes) of the files to read, depth first with names sorted in each directory."""
+        found: list[tuple[str, int]] = []
+        stack = [""]
         while stack:
             rel = stack.pop()
             path = os.path.join(self.root, rel)
-            if os.path.islink(path) or ignored(rel, os.path.isdir(path), self.rules):
+            if os.path.islink(path) and rel or rel and ignored(rel, os.path.isdir(path), self.rules):
+                continue
+            try:
+                if os.path.isdir(path):
+                    stack += [f"{rel}/{x}" if rel else x for x in sorted(os.listdir(path), reverse=True)]
+                elif os.path.isfile(path) and (size := os.path.getsize(path)) <= self.file_bytes:
+                    if len(found) >= self.files_most:
+                        self.clipped = True
+                        break
+                    found.append((rel, size))
+            except OSError:
+                continue
+        return found
+
+    def partitions(self) -> list[_Part]:
+        parts: list[list[str]] = [[]]
+        used = 0
+        for rel, size in self.listed():
+            if parts[-1] and used + size > PART_BYTES:
+                parts.append([])
+                used = 0
+            parts[-1].append(rel)
+            used += size + 4096
+        return [_Part(files) for files in parts]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        for rel in partition.files:
+            try:
+                with open(os.path.join(self.root, rel), "rb") as f:
+                    data = f.read(self.file_bytes + 1)
+            except OSError:
                 continue
-            if os.path.isdir(path):
-                stack += [f"{rel}/{x}" for x in sorted(os.listdir(path), reverse=True)]
-            elif os.path.isfile(path) and os.path.getsize(path) <= self.file_bytes:
-                try:
-                    with open(path, "rb") as f:
-                        data = f.read()
-                except OSError:
-                    continue
-                if b"\0" not in data[: P.NUL_WINDOW]:
-                    text = data.decode("utf-8", "replace").removeprefix("﻿")
-                    yield rel, len(data), hashlib.sha256(data).hexdigest(), text
+            if len(data) <= self.file_bytes and b"\0" not in data[: P.NUL_WINDOW]:
+                yield rel, len(data), hashlib.sha256(data).hexdigest(), data.decode("utf-8", "replace").removeprefix("\ufeff")
 
 
 class TreeSource(DataSource):
-    """spark.read.format("tree").load(root); option file_bytes."""
+    """spark.read.format("tree").load(root); options file_bytes and files_most."""
 
     @classmethod
     def name(cls) -> str:
@@ -93,7 +148,7 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> TreeReader:  # noqa: ANN001
-        return TreeReader(self.options["path"], int(self.options.get("file_bytes", P.FILE_BYTES)))
+        return TreeReader(self.options["path"], int(self.options.get("file_bytes", P.FILE_BYTES)), int(self.options.get("files_most", P.FILES_MOST)))
 
 
 def open_corpus(spark: SparkSession, root: str) -> DataFrame:
