@@ -48,6 +48,8 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     three times its size. Random numbers come from the doc_id and the seed, so reruns agree; equal ranks go by doc_id and size, and rows
     that agree in both are exchangeable. Empty documents are taken with 0 words; sources
     without words have target 0. A null doc_id ranks as the empty text. Null is a source of its own. An empty table gives none.
+    The size that a sample is fixed to is its words, which the targets are given in, not its number of documents: a very long text counts
+    by its words, and the last document taken is the one that brings the words nearest to the target. Other columns are ignored.
     """
     words = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))).cast("long")
     sized = written(docs.select("doc_id", "source", words.alias("size")), "sizes")
