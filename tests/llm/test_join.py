@@ -40,7 +40,8 @@ def hot_rows(seed):
     return rows
 
 
-def test_hot_entries_equal_brute_force(spark):
+def test_hot_entries_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 32)
     for seed in (1, 2):
         rows = hot_rows(seed)
         assert components(spark, rows) == brute_components(rows)
