@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from siftwright.operators import lines, links, names, survey
+from siftwright.operators import code, judge, lines, links, names, segment, survey
 from siftwright.plans import search
 from siftwright.sources.tables import as_docs
 
@@ -196,3 +197,34 @@ def test_slots_follow_rate_limits():
     slots.take()
     slots.give(False, False, 0.0)
     assert slots.limit == 4
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("side", ["module_files", "link_targets", "declaration_segments", "score_files"])
+def test_corpus_sides_are_not_broadcast(spark, side):
+    """A side that grows with the corpus is joined by sorting, whatever its estimate: as a broadcast it goes through the driver."""
+    docs = spark.createDataFrame([("a/b.py", 9, "x = f(1)\n")], "rel string, size long, body string")
+    names = spark.createDataFrame([(1, "f", False)], "qid long, part string, plain boolean")
+    picks = spark.createDataFrame([(1, "a/b.py")], "qid long, rel string")
+    if side == "module_files":
+        found = code.module_files(spark.createDataFrame([("a.b",)], "module string"), docs)
+    elif side == "link_targets":
+        found = links.link_targets(spark.createDataFrame([(1, "a/b.py", "f", 1, "call")], "qid long, rel string, name string, line int, reason string"), docs, picks.limit(0))
+    elif side == "declaration_segments":
+        hits = spark.createDataFrame([("a/b.py", "f", 1)], "rel string, part string, n int")
+        found = judge.declaration_segments(segment.segments(docs), picks, hits, names)
+    else:
+        hits = spark.createDataFrame([("a/b.py", "f", 1)], "rel string, part string, n int")
+        found = code.score_files(docs, names, hits, lines.all_defs(lines.lines_of(docs)))
+    merged = [x for x in _plan(found).splitlines() if "SortMergeJoin [rel#" in x or "SortMergeJoin [suffix#" in x]
+    assert merged, side
+
+
+def test_settled_tables_are_files(spark):
+    """What a route keeps between steps is compressed and tells its size; empty tables keep their columns."""
+    kept = search.settled(spark.createDataFrame([(1, ["a"])], "qid long, parts array<string>"))
+    assert kept.inputFiles() and [tuple(r) for r in kept.collect()] == [(1, ["a"])]
+    assert search.settled(kept.limit(0)).schema == kept.schema
