@@ -51,6 +51,8 @@ TABLE_MOST = 1 << 19
 #: An index entry of more nodes is split by the sizes of partners (measured with one entry of 4000 unlinked sets, comparing all by bitmaps took 26 s
 #: and indexing whole sets again 24 s; below that, comparing is cheaper); ids that a filter holds, at most (8 to 16 MB), beyond which they are joined.
 HOT, FILTER_IDS = 4096, 1 << 22
+#: Entries of a node by which a pair that meets in several of them is told to have met before; more are told apart afterwards.
+FIRST_SIGS = 64
 BITS = 512
 _FIELDS = [f"b{i}" for i in range(BITS // 64)]
 _PREFIX_SCHEMA = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"{b} long" for b in _FIELDS) + ", bits array<long>, sigs array<long>"
@@ -305,6 +307,22 @@ def _may_link_wide(x: str, y: str):
     return F.when((F.size(p) == 0) | (F.size(q) == 0), F.lit(True)).otherwise(9 * differ <= F.col(f"{x}n") + F.col(f"{y}n"))
 
 
+def one_of_each(entries: DataFrame) -> DataFrame:
+    """entries (sig, node) -> those of one sig for each different set of nodes: near copies share most of their entries, and each would give the same pairs again.
+
+    A set of nodes is known by its size and two 64-bit digests of its nodes.
+    """
+    h = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    sets = entries.groupBy("sig").agg(F.count("*").alias("c"), *h)
+    kept = sets.groupBy("c", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
+    return entries.join(kept, "sig", "left_semi")
+
+
+def _first_shared(x: str, y: str):
+    """Whether no smaller sig than this one is among the first FIRST_SIGS of both: a pair is taken where it meets first, and its first meeting always holds this."""
+    return F.coalesce(F.array_min(F.array_intersect(f"{x}first", f"{y}first")), F.col(f"{x}sig")) >= F.col(f"{x}sig")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, more) -> doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
@@ -352,10 +370,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labelled = nodes.select("node", "n", *_FIELDS).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = alive.select("sig", "node", "hot").join(labelled.select("node", "comp"), "node")
     open_ = written(placed.groupBy("sig", "hot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "hot"), "open")
-    rest = written(alive.select("sig", "node").join(open_.where("not hot"), "sig", "left_semi").join(labelled, "node"), "rest")
+    few = written(one_of_each(alive.select("sig", "node").join(open_.where("not hot").select("sig"), "sig", "left_semi")), "few")
+    firsts = few.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST_SIGS).alias("first"))
+    rest = written(few.join(firsts, "node").join(labelled, "node"), "rest")
+    drop(few)
     x, y = rest.alias("x"), rest.alias("y")
-    few = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.", "y."))
-    pairs = few.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.", "y.") & _first_shared("x.", "y."))
+    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     hot = written(alive.where("hot").join(open_.where("hot"), "sig", "left_semi").select("node").distinct(), "hot")
     split = []
     if not hot.isEmpty():

@@ -64,3 +64,14 @@ def test_clashing_names(spark):
     for name in ("node", "row", "comp", "n", "d1", "sig", "component_id"):
         docs = docs.withColumn(name, F.lit("clash"))
     assert {r.component_id for r in J.jaccard_components(docs).collect()} == {0}
+
+
+def test_each_pair_is_made_once(spark):
+    """Near copies share most of their index entries; of entries with one set of nodes one is compared, and a pair is taken where it meets first."""
+    entries = spark.createDataFrame([(s, n) for s in range(40) for n in ((1, 2, 3) if s < 30 else (2, 3, s))], "sig long, node long")
+    left = J.one_of_each(entries)
+    assert sorted((r["sig"], r["node"]) for r in left.collect()) == sorted((s, n) for s in (0, *range(30, 40)) for n in ((1, 2, 3) if s < 30 else (2, 3, s)))
+    firsts = left.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, J.FIRST_SIGS).alias("first"))
+    x, y = (left.join(firsts, "node").alias(k) for k in "xy")
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & J._first_shared("x.", "y.")).select("x.node", "y.node").collect()
+    assert sorted(map(tuple, met)) == sorted([(1, 2), (1, 3), (2, 3), *((n, s) for s in range(30, 40) for n in (2, 3))])
