@@ -18,8 +18,8 @@ Sets of up to three shingles can only be linked with equal sets. The frequent cl
 without changing the result; it only decides how many candidates arise.
 
 Equal sets are collapsed first (a class of equal sets is one node of the graph). Candidates are first taken between a
-node and the smallest node of its index entries; entries whose nodes then fall in one component are done, and only nodes
-of different components in one entry are compared further.
+node and the smallest node of its index entries; entries whose nodes then fall in one component are done. In each of the
+others the nodes are compared with its smallest one, and then only nodes of different components in one entry are compared further.
 
 Hot entries. An entry of more than HOT nodes is not compared by pairs. The nodes of all such entries are indexed again
 by whole sets, rare shingles first as counted among them, and by sizes: a linked pair of sizes n, m has I >= 4 (n + m) / 9,
@@ -318,6 +318,17 @@ def one_of_each(entries: DataFrame) -> DataFrame:
     return entries.join(kept, "sig", "left_semi")
 
 
+def spokes(rest: DataFrame) -> DataFrame:
+    """rest (sig, node, comp, n, bitmaps) -> a, b: the smallest node of each entry with those of other components there that the bounds admit.
+
+    As many rows as the entries have at most. Near copies are mostly linked with each other, so these join a group that all its pairs would join by its square.
+    """
+    hubs = rest.groupBy("sig").agg(F.min("node").alias("node"))
+    x, y = rest.alias("x"), rest.join(hubs, ["sig", "node"], "left_semi").alias("y")
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x.", "y."))
+    return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+
+
 def _first_shared(x: str, y: str):
     """Whether no smaller sig than this one is among the first FIRST_SIGS of both: a pair is taken where it meets first, and its first meeting always holds this."""
     return F.coalesce(F.array_min(F.array_intersect(f"{x}first", f"{y}first")), F.col(f"{x}sig")) >= F.col(f"{x}sig")
@@ -367,13 +378,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     comps = components(links)
     release(spark)
     # What the stars leave: entries that still hold nodes of several components.
-    labelled = nodes.select("node", "n", *_FIELDS).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    fields = nodes.select("node", "n", *_FIELDS)
+    labelled = fields.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = alive.select("sig", "node", "hot").join(labelled.select("node", "comp"), "node")
     open_ = written(placed.groupBy("sig", "hot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "hot"), "open")
     few = written(one_of_each(alive.select("sig", "node").join(open_.where("not hot").select("sig"), "sig", "left_semi")), "few")
     firsts = few.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST_SIGS).alias("first"))
     rest = written(few.join(firsts, "node").join(labelled, "node"), "rest")
     drop(few)
+    near_hubs = written(spokes(rest), "spokes")
+    if not near_hubs.isEmpty():
+        more = corpus.verified(bounded(near_hubs).select("a", "b"))
+        links_all = written(links.union(more), "links")
+        for t in (links, more, comps):
+            drop(t)
+        links = links_all
+        comps = components(links)
+        labelled = fields.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = written(rest.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "rest")
+        drop(rest)
+        rest = named
+    drop(near_hubs)
+    release(spark)
     x, y = rest.alias("x"), rest.alias("y")
     met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _may_link("x.", "y.") & _first_shared("x.", "y."))
     pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))

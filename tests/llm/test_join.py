@@ -75,3 +75,37 @@ def test_each_pair_is_made_once(spark):
     x, y = (left.join(firsts, "node").alias(k) for k in "xy")
     met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & J._first_shared("x.", "y.")).select("x.node", "y.node").collect()
     assert sorted(map(tuple, met)) == sorted([(1, 2), (1, 3), (2, 3), *((n, s) for s in range(30, 40) for n in (2, 3))])
+
+
+def test_near_copies_are_not_compared_by_all_pairs(spark, monkeypatch):
+    """120 near copies, all linked with each other, behind an unlinked document that shares a part with each: 7,140 pairs."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:150] + [f"x{i}" for i in range(100)])]
+    for k in range(120):
+        own = list(base)
+        own[61 + k] = f"own{k}"
+        texts.append(" ".join(own))
+    counted, plain = {}, J.written
+
+    def written(df, name):
+        out = plain(df, name)
+        if name in ("near", "tried"):
+            counted[name] = counted.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "written", written)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs).collect()}
+    assert got == {0: 0} | {i: 1 for i in range(1, 121)}
+    assert counted["near"] < 700
+
+
+def test_memory_goes_back_to_the_system(monkeypatch):
+    """Every batch first returns what the one before has left with the allocators."""
+    import pyarrow as pa
+    from siftwright.llm import words
+
+    calls = []
+    monkeypatch.setattr(words, "give_back", lambda: calls.append(1), raising=False)
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None, "c"]})
+    assert [p.num_rows for p, _, _ in words.chunks(batch)] == [3] and len(calls) == 2
