@@ -1,0 +1,95 @@
+"""What many questions share is computed once for them; results are those of each question alone."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from siftwright import params as P
+from siftwright.operators import code, judge, lines, links, survey
+from siftwright.plans import search
+from siftwright.sources.tables import as_docs
+
+
+def _files():
+    rng, files = random.Random(7), {}
+    for i in range(60):
+        words = rng.sample(["load", "save", "run", "core.base", "Frame", f"own_{i}"], rng.randint(1, 4))
+        top, stem = rng.choice(["src/core", "src/xcore", "tests", "docs"]), rng.choice(["load", "base", "run", f"m{i}"])
+        body = f"class C{i}(Base{i % 2}):\n    def run(self):\n        return {' + '.join(words)}\n\n    def load(self):\n        pass\n" + ("def save():\n    pass\n" if i % 3 == 0 else "")
+        files[f"{top}/d{i % 4}/{stem}.py" if i % 5 else f"{top}/base/{stem}{i}.md"] = body
+    return files
+
+
+def _both(monkeypatch, make, **small):
+    """make() where all is joined for each question, and where all that stands in more than a file or two is shared."""
+    found = []
+    for values in ({k: 10**9 for k in small}, small):
+        for name, value in values.items():
+            monkeypatch.setattr(P, name, value)
+        found.append(sorted(tuple(r) for r in make().collect()))
+    return found
+
+
+@pytest.mark.parametrize("most,keep", [(0, 3), (2, 5), (20, 1)])
+def test_scores_and_mentions_by_shared_names(spark, monkeypatch, most, keep):
+    docs = as_docs(spark.createDataFrame(list(_files().items()), "rel string, body string"))
+    every = lines.lines_of(docs)
+    asked = [(q, "`core.base` `run` fail in load", ["run", "core.base", "base"], None) for q in range(3)]
+    asked += [(3, "d1.load", ["load", "own_1"], None), (4, "core.base", ["core.base", "save", "run"], "/x/src/core/d2/run.py"), (5, "Frame", ["Frame"], "d3/load.py"), (6, "own_7", ["own_7"], None)]
+    named = spark.createDataFrame(asked, "qid int, text string, parts array<string>, file string")
+    parts = named.select("qid", F.explode("parts").alias("part"), (F.col("qid") % 2 == 0).alias("plain"))
+    hits, defs = code.grep(every, parts).localCheckpoint(), lines.all_defs(every).localCheckpoint()
+    make = lambda: code.score_files(docs, parts, hits, defs, keep, code.hints_of(named)).select("qid", "rel", F.round("heuristic", 6), "place")
+    whole, shared = _both(monkeypatch, make, COMMON_FILES=most)
+    assert whole == shared and len({q for q, *_ in whole}) >= 6
+    whole, shared = _both(monkeypatch, lambda: code.mentions(named, hits), COMMON_FILES=most)
+    held = {}
+    for r in hits.collect():
+        held.setdefault(r.part, set()).add(r.rel)
+    assert whole == shared == sorted((q, text, n) for q, text, ps, _ in asked if (n := len(set().union(*(held.get(p, set()) for p in ps)))))
+
+
+def test_sibling_targets_by_shared_methods(spark, monkeypatch):
+    docs = as_docs(spark.createDataFrame(list(_files().items()), "rel string, body string"))
+    defs = lines.all_defs(lines.lines_of(docs)).localCheckpoint()
+    rels = sorted(r for r in _files() if r.endswith(".py"))
+    chosen = spark.createDataFrame([(q, f"{r}#2-6", r, "run", 2, 6, "") for q in range(4) for r in rels[q * 3 : q * 3 + 2]], "qid int, key string, rel string, title string, from int, to int, body string")
+    judged = spark.createDataFrame([(q, r) for q in range(3) for r in rels[q : q + 9]], "qid int, rel string")
+    others = spark.createDataFrame([(0, rels[-1], "x", 1, "import"), (2, rels[-2], "x", 1, "caller")], "qid int, rel string, name string, line int, reason string")
+    want = sorted(tuple(r) for r in links.link_targets(links.sibling_links(chosen, defs).unionByName(others), docs, judged, 5).collect())
+    make = lambda: links.link_targets(links.leading_siblings(chosen, docs, defs, others, judged, 5).unionByName(others), docs, judged, 5)
+    whole, shared = _both(monkeypatch, make, COMMON_FILES=1)
+    assert whole == shared == want and want
+
+
+def test_walk_asks_by_stretches(spark, monkeypatch):
+    """A question that has its files asks for no more of a level, and walks alike however long the stretches are."""
+    files = {f"src/d{i % 3}/part {i}.txt": "t" for i in range(150)}
+    docs = as_docs(spark.createDataFrame(list(files.items()), "rel string, body string"))
+    lex = spark.createDataFrame([(q, t, s) for q in range(4) for t, s in (("src", True), ("txt", q > 1), (str(q + 11), True))], "qid int, token string, strong boolean")
+    asked = []
+
+    def said(asks):
+        asked.append(asks.count())
+        return judge.hash_verdicts(asks)
+
+    found = []
+    for first, common in ((10**6, 10**6), (7, 2)):
+        monkeypatch.setattr(P, "WALK_FIRST", first)
+        monkeypatch.setattr(P, "COMMON_PATHS", common)
+        monkeypatch.setattr(P, "WALK_BLOCK", 5 if common == 2 else 256)
+        asked.clear()
+        got, problems = survey.walk(docs, lex, said, search.settled, picks=12)
+        found.append((sorted(tuple(r) for r in got.collect()), sorted(tuple(r) for r in problems.collect()), sum(asked)))
+    assert found[0][:2] == found[1][:2] and len(found[0][0]) == 48
+    assert found[1][2] < found[0][2] / 2
+
+
+def test_paths_by_shared_tokens(spark, monkeypatch):
+    paths = spark.createDataFrame([(f"src/a{i % 4}/red lorry {i}.txt",) for i in range(40)] + [("red.txt",)], "rel string")
+    lex = spark.createDataFrame([(1, "red", True), (1, "src", True), (1, "7", True), (2, "lorry", False), (2, "txt", False), (3, "red lorry 9", True), (3, "src", False), (4, "zzz", True)], "qid int, token string, strong boolean")
+    monkeypatch.setattr(P, "COMMON_PATHS", 2)
+    want = sorted(tuple(r) for r in survey.rank_by_query(survey.evidence(paths, lex).where("fits"), 6).select("qid", "rel", "hits", "strong", "place").collect())
+    got = sorted(tuple(r) for r in survey.Shared(paths, lex, search.settled).best(6).select("qid", "rel", "hits", "strong", "place").collect())
+    assert got == want and want
