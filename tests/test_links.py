@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +225,23 @@ def test_corpus_sides_are_not_broadcast(spark, side):
     assert merged, side
 
 
+@pytest.mark.parametrize("made,keys", [("sibling", ["rel", "owner"]), ("call", ["name"]), ("caller", ["name"]), ("family", ["dir"]), ("family", ["rel", "name"]), ("import", ["rel", "name"])])
+def test_links_broadcast_no_corpus(spark, made, keys):
+    """Definitions and declared names of all files are joined by sorting too."""
+    docs = spark.createDataFrame([("a/c/b.py", 9, "x = f(1)\n")], "rel string, size long, body string")
+    every = lines.lines_of(docs)
+    defs = lines.all_defs(every)
+    chosen = spark.createDataFrame([(1, "a/c/b.py#1-1", "a/c/b.py", "f", 1, 1, "f(1)")], "qid long, key string, rel string, title string, from int, to int, body string")
+    found = {
+        "sibling": lambda: links.sibling_links(chosen, defs),
+        "call": lambda: links.call_links(chosen.select("qid", F.col("title").alias("name"), F.lit(True).alias("called")), defs),
+        "caller": lambda: links.caller_links(links.own_functions(chosen), docs, every, defs),
+        "family": lambda: links.family_links(chosen, docs, every),
+        "import": lambda: links.import_links(chosen, docs, every),
+    }[made]()
+    assert re.search(r"SortMergeJoin \[" + ", ".join(rf"{k}#\d+" for k in keys) + r"\], \[", _plan(found))
+
+
 def test_settled_tables_are_files(spark):
     """What a route keeps between steps is compressed and tells its size; empty tables keep their columns."""
     kept = search.settled(spark.createDataFrame([(1, ["a"])], "qid long, parts array<string>"))
