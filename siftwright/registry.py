@@ -441,7 +441,7 @@ def survey_walk(s: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def link_hops(s: SparkSession, d: str) -> DataFrame:
-    first = _first_methods(s, d).withColumns({"probability": F.lit(0.9), "quoted": F.lit(True)})
+    first = search.settled(_first_methods(s, d).withColumns({"probability": F.lit(0.9), "quoted": F.lit(True)}))
     return search.link_hops(_code(s, d), first, judge.hash_verdicts).select("qid", "rel", "key", F.round("probability", 6).alias("probability"), "quoted", "via")
 
 

@@ -225,6 +225,19 @@ def test_corpus_sides_are_not_broadcast(spark, side):
     assert merged, side
 
 
+def test_link_hops_cut_linked_files_alone(spark, monkeypatch):
+    """Segments are cut of the files that links lead to, not of the whole corpus."""
+    docs = as_docs(spark.createDataFrame([*FILES.items(), *((f"z/free{i}.py", f"x{i} = 1\n") for i in range(9))], "rel string, body string"))
+    first = spark.createDataFrame([(1, "app/main.py", "app/main.py#3-4", "start", 3, 4, "def start():\n    return help_me(1, 2)", 0.9, True)], "qid int, rel string, key string, title string, `from` int, `to` int, body string, probability double, quoted boolean")
+    linked = spark.createDataFrame([(1, "core/tools.py", "help_me", 3, "call")], "qid int, rel string, name string, line int, reason string")
+    monkeypatch.setattr(links, "other_links", lambda *_: linked)
+    monkeypatch.setattr(links, "leading_siblings", lambda *_, **__: linked.limit(0))
+    cut, whole = [], segment.segments
+    monkeypatch.setattr(segment, "segments", lambda d: cut.extend(r.rel for r in d.select("rel").collect()) or whole(d))
+    got = search.link_hops(docs, first, judge.hash_verdicts, 1)
+    assert cut == ["core/tools.py"] and got.where("via = 'grep'").count() == 1
+
+
 @pytest.mark.parametrize("made,keys", [("sibling", ["rel", "owner"]), ("call", ["name"]), ("caller", ["name"]), ("family", ["dir"]), ("family", ["rel", "name"]), ("import", ["rel", "name"])])
 def test_links_broadcast_no_corpus(spark, made, keys):
     """Definitions and declared names of all files are joined by sorting too."""
